@@ -7,6 +7,9 @@ import tempfile
 import types
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +60,15 @@ def kept(key: str, make):
     if key not in stash:
         stash[key] = make()
     return stash[key]
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of all texts end to end (nulls: none; a copy), and the borders of each text."""
+    texts = pc.fill_null(texts, "")
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    borders = np.append(0, np.cumsum(sizes))
+    first = texts.offset
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    at = int(np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[first]) if len(texts) else 0
+    data = texts.buffers()[2] if len(texts) else None
+    return np.frombuffer(data or b"", np.uint8)[at : at + borders[-1]].copy(), borders
