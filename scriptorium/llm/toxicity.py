@@ -147,9 +147,8 @@ def logistic(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray,
     return w[:n], float(w[n])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score (0 to 1) and predicted; every column of docs is kept."""
-    spark = docs.sparkSession
+def score_of(spark: SparkSession, text: Column, model: Model) -> Column:
+    """The score (0 to 1) of a text column."""
     used = np.flatnonzero(model.weights).astype(np.int32)
     values, intercept = model.weights[used], model.intercept
     shared = spark.sparkContext.broadcast((used, values, intercept))  # FEATURES entries at most
@@ -167,8 +166,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 out.append(intercept + np.bincount(rows, table[bucket].astype(np.float64), len(some)))
             yield pd.Series(1 / (1 + np.exp(-np.clip(np.concatenate(out), -30, 30))))
 
-    udf = F.pandas_udf(scored, "double", F.PandasUDFType.SCALAR_ITER)
-    return docs.withColumn("score", udf(F.col("text").cast("string"))).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+    return F.pandas_udf(scored, "double", F.PandasUDFType.SCALAR_ITER)(text.cast("string"))
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score (0 to 1) and predicted of every document."""
+    scored = docs.select("doc_id", score_of(docs.sparkSession, F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
