@@ -17,9 +17,15 @@ h + 1 symbols.  Borders of blocks that appear in round h mark common prefixes of
 h - 1 symbols; after LENGTH / STRIDE rounds the blocks with two suffixes or more
 are the repeated intervals.  Suffixes are never re-sorted across shards.
 
-Hot buckets (more than HOT segments) are dealt to several tasks by a hash; what
-is single in its task is compared across tasks by 128-bit digests of the
-windows, each block counting once a task - exact, without gathering a bucket.
+Hot buckets (more than HOT segments).  A segment's windows are divided into
+SLICES by their distance from the minimiser; all windows of a slice hold a core
+of bytes around it, so slices meet only where their cores are equal.  Slices
+whose whole contents are equal are repeats without more ado and one of them
+stands for all; what differs is merged as above, in a bucket for each core.
+Where even such a bucket has more than HOT contents (or a segment has several
+minimisers), it is dealt to several tasks by a hash, and what is single in its
+task is compared across tasks by 128-bit digests of the windows, each block
+counting once a task.  All of this is exact and gathers no bucket in a task.
 
 Exact copies: all rows of one text of LENGTH bytes or more are removed whole;
 one of them stays as a partner for other texts.
@@ -45,6 +51,7 @@ LENGTH = 400
 K = 64
 STRIDE = 40
 HOT = 1024
+SLICES = 16
 BATCH_BYTES = 1_000_000
 MOST_BROADCAST = 200_000
 
@@ -66,13 +73,13 @@ def rolling(raw: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(27))
 
 
-def segments(raw: np.ndarray, borders: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first window, last window, minimiser hash, minimisers merged) of each segment; positions within the text."""
+def segments(raw: np.ndarray, borders: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
+    """(text, first window, last window, minimiser hash, minimisers merged, minimiser's place) of each segment; positions within the text."""
     sizes = np.diff(borders)
     starts = np.flatnonzero(np.repeat(sizes >= length, sizes))
     none = np.zeros(0, np.int64)
     if not len(starts):
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     h = rolling(raw, k)
     # hash above, position below: minima are the leftmost of the least
     packed = (h & ~np.uint64((1 << 26) - 1)) | np.arange(len(h)).astype(np.uint64)
@@ -95,7 +102,7 @@ def segments(raw: np.ndarray, borders: np.ndarray, length: int, k: int) -> tuple
     last = np.append(new[1:], len(window)) - 1
     merged = np.add.reduceat((np.diff(at, prepend=-1) != 0).astype(np.int64), new)
     t = text[new]
-    return t, window[new] - borders[t], window[last] - borders[t], owner[new], np.maximum(merged, 1)
+    return t, window[new] - borders[t], window[last] - borders[t], owner[new], np.maximum(merged, 1), at[new] - borders[t]
 
 
 # --- Burrows-Wheeler transforms of a shard, and their merge ---
@@ -268,7 +275,7 @@ def _compare(length: int, stride: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, stride: int = STRIDE) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, stride: int = STRIDE, hot: int = HOT) -> DataFrame:
     """doc_id, text_key, n_bytes, spans array<struct<start, end>> (removed bytes), kept binary or null where nothing was removed."""
     if length % stride or stride % 8 or k > length:
         raise ValueError("length must be a multiple of stride, and stride of 8")
@@ -284,36 +291,52 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, stride: in
             for at in range(0, big.num_rows, 300):
                 b = big.slice(at, 300)
                 raw, borders = text_bytes(b.column(2))
-                t, first, last, owner, merged = segments(raw, borders, length, k)
-                cols = [b.column(0).take(pa.array(t)), b.column(1).take(pa.array(t)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(owner), pa.array(merged)]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_key", "first", "last", "h", "merged"])
+                t, first, last, owner, merged, place = segments(raw, borders, length, k)
+                cols = [b.column(0).take(pa.array(t)), b.column(1).take(pa.array(t)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(owner), pa.array(merged), pa.array(place.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_key", "first", "last", "h", "merged", "place"])
 
     partners = docs.where(F.octet_length("text") >= length).select("doc_id", "text_key", "text")
-    rows = written(partners.mapInArrow(minimisers, "doc_id long, text_key long, first int, last int, h long, merged long"), "repeats-minimisers")
+    rows = written(partners.mapInArrow(minimisers, "doc_id long, text_key long, first int, last int, h long, merged long, place int"), "repeats-minimisers")
     gone = copied.where("not stays").select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"))
     rows = rows.join(sized(gone, gone.count(), MOST_BROADCAST), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")), "left_anti")
     shared = rows.groupBy("h").agg(F.count("*").alias("segments"), F.sum("merged").alias("merged")).where("merged > 1").select("h", "segments")
-    tasks = F.ceil(F.col("segments") / HOT)
-    salt = F.pmod(F.xxhash64("doc_id", "text_key", "first"), tasks).cast("int")
-    hits = rows.join(shared, "h").select("doc_id", "text_key", F.struct("first", "last", "h", salt.alias("salt"), (tasks > 1).alias("several")).alias("s"))
+    tasks = F.ceil(F.col("segments") / hot)
+    # -1: to be sliced; else the task of a bucket, one of several where several is set
+    salt = F.when(tasks == 1, 0).when(F.col("merged_own") == 1, -1).otherwise(F.pmod(F.xxhash64("doc_id", "text_key", "first"), tasks)).cast("int")
+    hits = rows.withColumnRenamed("merged", "merged_own").join(shared, "h").select("doc_id", "text_key", F.struct("first", "last", "h", "place", salt.alias("salt"), (tasks > 1).alias("several")).alias("s"))
     hits = written(hits.groupBy("doc_id", "text_key").agg(F.collect_list("s").alias("segments")), "repeats-hits")  # per document
     n_hits = hits.count()
     own = hits.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "segments")
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t"))
     texts = written(partners.join(sized(own, n_hits, MOST_BROADCAST), same).select("doc_id", "text_key", "text", "segments").dropDuplicates(["doc_id", "text_key"]), "repeats-partners")
 
-    each = texts.select("doc_id", "text_key", F.col("text").cast("binary").alias("data"), F.explode("segments").alias("s"))
-    cut = each.select(
-        F.col("s.h").alias("h"), F.col("s.salt").alias("salt"), F.col("s.several").alias("several"), "doc_id", "text_key", F.col("s.first").alias("first"),
-        F.substring("data", F.col("s.first") + 1, F.col("s.last") - F.col("s.first") + length).alias("bytes"),
+    each = texts.select("doc_id", "text_key", F.col("text").cast("binary").alias("data"), F.explode("segments").alias("s")).select("doc_id", "text_key", "data", "s.*")
+    bytes_of = lambda a, b: F.substring("data", a + 1, b - a)
+    plain = each.where("salt >= 0").select("h", "salt", "several", "doc_id", "text_key", "first", bytes_of(F.col("first"), F.col("last") + length).alias("bytes"))
+    wide = -(-(length - k + 1) // SLICES)
+    sliced = each.where("salt < 0").withColumn("top", F.explode(F.transform(F.sequence(F.lit(0), F.lit(SLICES - 1)), lambda j: F.col("place") - j * wide)))
+    sliced = sliced.withColumns({"a": F.greatest("first", F.col("top") - wide + 1), "b": F.least("last", "top")}).where("a <= b")
+    sliced = sliced.select(
+        F.xxhash64("h", F.col("place") - F.col("top"), bytes_of(F.col("top"), F.col("top") - wide + 1 + length)).alias("core"),
+        F.md5(bytes_of(F.col("a"), F.col("b") + length)).alias("content"), "doc_id", "text_key", "a", "b", bytes_of(F.col("a"), F.col("b") + length).alias("bytes"),
     )
+    sliced = written(sliced, "repeats-slices")
+    contents = written(sliced.groupBy("core", "content").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "a", "bytes")).alias("one")), "repeats-contents")
+    equal = sliced.drop("bytes").join(contents.where("n > 1").select("core", "content"), ["core", "content"]).select("doc_id", "text_key", F.col("a").alias("first"), F.col("b").alias("last"))
+    cores = contents.groupBy("core").agg(F.count("*").alias("m")).where("m > 1")
+    among = F.ceil(F.col("m") / hot)
+    differing = contents.join(cores, "core").select(
+        F.col("core").alias("h"), F.pmod(F.xxhash64("content"), among).cast("int").alias("salt"), (among > 1).alias("several"),
+        "one.doc_id", "one.text_key", F.col("one.a").alias("first"), "one.bytes",
+    )
+    cut = plain.unionByName(differing)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = cut.repartition(parts, "h", "salt").sortWithinPartitions("h", "salt").mapInArrow(_compare(length, stride), FOUND)
     found = written(found, "repeats-found")
     digests = found.where("d1 is not null")
     across = digests.groupBy("d1", "d2").agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col("n") == 1, F.struct("doc_id", "text_key", "first", "last"))).alias("at"))
     across = across.where("n > 1").select(F.explode("at").alias("x")).select("x.*")
-    runs = found.where("d1 is null").select("doc_id", "text_key", "first", "last").unionByName(across)
+    runs = found.where("d1 is null").select("doc_id", "text_key", "first", "last").unionByName(across).unionByName(equal)
     by_doc = runs.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("t")).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
