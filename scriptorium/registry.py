@@ -8,7 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def modules() -> list:
-    return []
+    from scriptorium.operators import matching, repair, sections, tracking, voting
+
+    return [repair, sections, matching, voting, tracking]
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.operators.sections import flagship
+
+    return flagship(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
