@@ -166,10 +166,10 @@ def classes(docs: DataFrame, width: int = 2, num: int = 80, den: int = 100, star
     sig = written(signatures(docs, width), "minhash")
     real = sig.where("n_shingles > 0 and doc_id is not null")
     reps = written(real.groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("d1", "d2", "n_shingles", F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands")), "minhash-sets")
-    keys = reps.select("rep", F.explode("bands").alias("k"))
+    keys = reps.select("rep", "n_shingles", F.explode("bands").alias("k"))
     shared = keys.groupBy("k").agg(F.count("*").alias("size"), F.min("rep").alias("centre")).where("size > 1")
     # the rows of buckets that have more than one set, and nothing else, are kept for the rounds below
-    buckets = written(keys.join(shared.select("k", "centre"), "k").select("k", "rep", "centre"), "minhash-buckets")
+    buckets = written(keys.join(shared.select("k", "centre"), "k").select("k", "rep", "n_shingles", "centre"), "minhash-buckets")
     tested = written(buckets.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "minhash-edges")
     ids = buckets.select(F.col("rep").alias("doc_id")).distinct()
     ids = written(ids, "minhash-ids")
@@ -178,7 +178,7 @@ def classes(docs: DataFrame, width: int = 2, num: int = 80, den: int = 100, star
     turn = 0
     while True:
         comp = components(links)
-        labelled = buckets.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("k", "rep", F.coalesce("component", "rep").alias("c"))
+        labelled = buckets.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("k", "rep", "n_shingles", F.coalesce("component", "rep").alias("c"))
         labelled = written(labelled, "minhash-labels")
         by_comp = labelled.groupBy("k", "c").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep")).alias("m"))
         mixed_ = by_comp.groupBy("k").agg(F.count("*").alias("comps"), F.max(F.struct("n", "c")).alias("top"), F.min("m").alias("m")).where("comps > 1")
@@ -187,8 +187,10 @@ def classes(docs: DataFrame, width: int = 2, num: int = 80, den: int = 100, star
         if turn < stars:
             new = held.where("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
         else:
-            outer = held.where("c <> top").select("k", F.col("rep").alias("o"), F.col("c").alias("oc"))
-            pairs = held.select("k", "rep", "c", "top").join(outer, "k").where("c <> oc and (c = top or rep < o)")
+            outer = held.where("c <> top").select("k", F.col("rep").alias("o"), F.col("c").alias("oc"), F.col("n_shingles").alias("m"))
+            # sets of too different sizes can't be similar enough
+            sizes = F.least("m", "n_shingles") * den >= F.greatest("m", "n_shingles") * num
+            pairs = held.select("k", "rep", "n_shingles", "c", "top").join(outer, "k").where("c <> oc and (c = top or rep < o)").where(sizes)
             new = pairs.select(F.least("rep", "o").alias("a"), F.greatest("rep", "o").alias("b"))
         new = written(new.distinct().join(tested, ["a", "b"], "left_anti"), "minhash-edges")
         found = written(confirmed(new, texts, width, num, den), "minhash-links")
