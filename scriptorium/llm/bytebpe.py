@@ -19,7 +19,8 @@ from __future__ import annotations
 
 import base64
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm.shared import kept, table
-
-MEMO = 100_000
+from scriptorium.llm.tokenids import Memo, slices
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -75,10 +75,11 @@ def serialised_model(ranks: dict[bytes, int]) -> bytes:
     return b"".join(pieces) + _field(2, trainer) + _field(3, normalizer)
 
 
-class Coder:
-    """Ids of cuts of texts, with a memo of two generations of at most MEMO cuts each."""
+class Coder(Memo):
+    """Ids of cuts of texts, with the memo of tokenids."""
 
     def __init__(self, ranks_file: str, pattern: str):
+        super().__init__()
         import regex
         import sentencepiece
 
@@ -87,46 +88,22 @@ class Coder:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialised_model(ranks))
         self.match = regex.compile(pattern).findall
         self.to_chars = dict(enumerate(byte_chars()))
-        self.new: dict[str, np.ndarray] = {}
-        self.old: dict[str, np.ndarray] = {}
-
-    def encode(self, cuts: list[str]) -> list[np.ndarray]:
-        tokens: list[str] = []
-        counts = []
-        for cut in cuts:
-            found = self.match(cut)
-            tokens += found
-            counts.append(len(found))
-        mapped = [t.encode().decode("latin-1").translate(self.to_chars) for t in tokens]
-        ids = self.model.encode(mapped, num_threads=1) if mapped else []
-        out, at = [], 0
-        for n in counts:
-            out.append(self.rank[[i for x in ids[at : at + n] for i in x]] if n else np.zeros(0, np.int32))
-            at += n
-        return out
-
-    def ids(self, cuts: list[str]) -> list[np.ndarray]:
-        new, old = self.new, self.old
-        found = [new.get(p) for p in cuts]
-        missing = []
-        for i, x in enumerate(found):
-            if x is None:
-                if (x := old.get(cuts[i])) is None:
-                    missing.append(i)
-                else:
-                    found[i] = new[cuts[i]] = x
-        for i, x in zip(missing, self.encode([cuts[i] for i in missing]) if missing else [], strict=True):
-            found[i] = x
-            if len(cuts[i]) <= 64:
-                new[cuts[i]] = x
-        if len(new) > MEMO:
-            self.old, self.new = new, {}
-        return found
+
+    def encode(self, cuts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.match(cut) for cut in cuts]
+        tokens = [t.encode() for x in found for t in x]
+        if not tokens:
+            return np.zeros(0, np.int32), np.zeros(len(cuts), np.int64)
+        # the byte FF is never part of UTF-8 and is mapped to itself: it parts the tokens
+        mapped = b"\xff".join(tokens).decode("latin-1").translate(self.to_chars).split("\xff")
+        ids = self.model.encode(mapped, num_threads=1)
+        ends = np.append(0, np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))))
+        flat = self.rank[np.fromiter(chain.from_iterable(ids), np.int64, int(ends[-1]))]
+        borders = np.append(0, np.cumsum(np.fromiter(map(len, found), np.int64, len(found))))
+        return flat, np.diff(ends[borders])
 
     def ids_of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the count of each text."""
-        from scriptorium.llm.tokenids import gathered
-
         texts = pc.fill_null(texts, "")
         # white space after a space, or at the end, or first: no such cut
         odd = pc.match_substring_regex(texts, r"[ \x85\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}][\s\x0B\x1C-\x1F\x85\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|[ ]$|^[ ]|[ ]\z")
@@ -145,38 +122,33 @@ class Coder:
             cuts += [texts[int(i)].as_py() for i in whole]
             picks[firsts[whole]] = len(cuts) - len(whole) + np.arange(len(whole))
         used, picks = np.unique(picks, return_inverse=True)
-        flat, each = gathered(self.ids([cuts[i] for i in used]), picks)
+        flat, each = self.ids([cuts[i] for i in used.tolist()], picks)
         ends = np.append(0, np.cumsum(each))
         return flat, np.diff(ends[np.append(0, np.cumsum(lens))])
 
 
-def encode(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
-    """doc_id, ids array<int> of each whole text, without special tokens."""
-
+def _encoding(ranks_file: str, pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = kept(f"bytebpe:{ranks_file}:{pattern}", lambda: Coder(ranks_file, pattern))
         for big in batches:
-            for at in range(0, big.num_rows, 300):
-                b = big.slice(at, 300)
+            for b in slices(big):
                 flat, counts = coder.ids_of_texts(b.column(1))
                 ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([b.column(0), ids], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
+    return run
 
 
-def decode(encoded: DataFrame, ranks_file: str) -> DataFrame:
-    """doc_id, ids, decoded binary: the bytes that the ids stand for."""
+def _decoding(ranks_file: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ranks = read_ranks(ranks_file)
+        size = np.zeros(max(ranks.values()) + 1, np.int64)
+        for e, r in ranks.items():
+            size[r] = len(e)
+        data = np.frombuffer(b"".join(sorted(ranks, key=ranks.__getitem__)), np.uint8)
+        return data, np.cumsum(size) - size, size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            ranks = read_ranks(ranks_file)
-            size = np.zeros(max(ranks.values()) + 1, np.int64)
-            for e, r in ranks.items():
-                size[r] = len(e)
-            data = np.frombuffer(b"".join(sorted(ranks, key=ranks.__getitem__)), np.uint8)
-            return data, np.cumsum(size) - size, size
-
         data, starts, size = kept(f"bytes:{ranks_file}", tables)
         for big in batches:
             for at in range(0, big.num_rows, 300):
@@ -192,7 +164,27 @@ def decode(encoded: DataFrame, ranks_file: str) -> DataFrame:
                 out = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data[where].tobytes())])
                 yield pa.RecordBatch.from_arrays([b.column(0), lists, out], ["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return run
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def encode(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
+    """doc_id, ids array<int> of each whole text, without special tokens."""
+    return _texts(docs).mapInArrow(_encoding(ranks_file, pattern), "doc_id long, ids array<int>")
+
+
+def decode(encoded: DataFrame, ranks_file: str) -> DataFrame:
+    """doc_id, ids, decoded binary: the bytes that the ids stand for."""
+    return encoded.select("doc_id", "ids").mapInArrow(_decoding(ranks_file), "doc_id long, ids array<int>, decoded binary")
+
+
+def round_trip(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
+    """decode(encode(docs)) in one pass of one Python worker a task."""
+    into, back = _encoding(ranks_file, pattern), _decoding(ranks_file)
+    return _texts(docs).mapInArrow(lambda batches: back(into(batches)), "doc_id long, ids array<int>, decoded binary")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +192,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks_file = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = decode(encode(table(spark, sf_dir, "documents"), ranks_file, public_tokenizers.PATTERN), ranks_file)
+    coded = round_trip(table(spark, sf_dir, "documents"), ranks_file, public_tokenizers.PATTERN)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

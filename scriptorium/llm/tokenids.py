@@ -23,6 +23,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,16 +36,57 @@ from scriptorium.llm.shared import kept, table, written
 MAX_BITS = 16
 CHUNK = 256
 BLOCK_IDS = 1 << 18
-MEMO = 100_000
+MEMO = 250_000
+LONGEST = 64
+SLICE = 2_000_000
 END_ID = 2
 #: Stands alone between pieces; no other id belongs to it.
 MARK = "\x01"
 
 
-class PieceMemo:
-    """Ids of pieces, in two generations of at most MEMO pieces each."""
+class Memo:
+    """Ids of pieces: one flat store of ids and the place of each piece in it.
 
+    After more than MEMO pieces or 16 * MEMO ids it starts afresh.  Pieces longer
+    than LONGEST stay in the store until then, but aren't looked up.
+    """
+
+    def __init__(self):
+        self._clear()
+
+    def _clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.store, self.starts, self.lens = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces end to end, and the count of each."""
+        raise NotImplementedError
+
+    def ids(self, pieces: list[str], picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces[picks] end to end, and the count of each; the pieces are distinct."""
+        if len(self.at) > MEMO or len(self.store) > 16 * MEMO:
+            self._clear()
+        at = np.fromiter(map(self.at.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = [pieces[i] for i in missing.tolist()]
+            flat, counts = self.encode(new)
+            at[missing] = own = np.arange(len(self.lens), len(self.lens) + len(new))
+            self.at.update((p, i) for p, i in zip(new, own.tolist(), strict=True) if len(p) <= LONGEST)
+            self.starts = np.concatenate([self.starts, len(self.store) + np.cumsum(counts) - counts])
+            self.lens = np.concatenate([self.lens, counts])
+            self.store = np.concatenate([self.store, flat])
+        at = at[picks]
+        each = self.lens[at]
+        total = np.cumsum(each)
+        where = np.repeat(self.starts[at] - (total - each), each)
+        where += np.arange(len(where))
+        return self.store[where], each
+
+
+class PieceMemo(Memo):
     def __init__(self, vocab_file: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -53,58 +95,40 @@ class PieceMemo:
         self.size = self.coder.get_vocab_size()
         mark = self.coder.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
-        self.new: dict[str, np.ndarray] = {}
-        self.old: dict[str, np.ndarray] = {}
 
-    def _encode(self, pieces: list[str]) -> list[np.ndarray]:
-        if self.mark is None:
-            return [np.array(e.ids, np.int32) for e in self.coder.encode_batch_fast(pieces, add_special_tokens=False)]
-        out = []
+    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flats, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for at in range(0, len(pieces), 2000):
             some = pieces[at : at + 2000]
-            ids = np.array(self.coder.encode_batch_fast([f" {MARK} ".join(some)], add_special_tokens=False)[0].ids, np.int32)
-            cuts = np.flatnonzero(ids == self.mark)
-            if len(cuts) != len(some) - 1:  # a piece holds the mark itself
-                out += [np.array(e.ids, np.int32) for e in self.coder.encode_batch_fast(some, add_special_tokens=False)]
-            else:
-                ends = np.append(cuts, len(ids))
-                out += [ids[a:b].copy() for a, b in zip(np.append(0, cuts + 1), ends, strict=True)]
-        return out
-
-    def ids(self, pieces: list[str]) -> list[np.ndarray]:
-        new, old = self.new, self.old
-        found = [new.get(p) for p in pieces]
-        missing = []
-        for i, x in enumerate(found):
-            if x is None:
-                if (x := old.get(pieces[i])) is None:
-                    missing.append(i)
-                else:
-                    found[i] = new[pieces[i]] = x
-        for i, x in zip(missing, self._encode([pieces[i] for i in missing]) if missing else [], strict=True):
-            found[i] = new[pieces[i]] = x
-        if len(new) > MEMO:
-            self.old, self.new = new, {}
-        return found
-
-
-def gathered(values: list[np.ndarray], picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The arrays values[picks] end to end, and the length of each."""
-    lens = np.fromiter((len(v) for v in values), np.int64, len(values))
-    flat = np.concatenate(values) if len(values) else np.zeros(0, np.int32)
-    starts = np.cumsum(lens) - lens
-    each = lens[picks]
-    total = np.cumsum(each)
-    at = np.repeat(starts[picks] - (total - each), each)
-    at += np.arange(len(at))
-    return flat[at], each
+            if self.mark is not None:
+                ids = np.array(self.coder.encode_batch_fast([f" {MARK} ".join(some)], add_special_tokens=False)[0].ids, np.int32)
+                cuts = np.flatnonzero(ids == self.mark)
+                if len(cuts) == len(some) - 1:  # no piece holds the mark itself
+                    flats.append(np.delete(ids, cuts))
+                    counts.append(np.diff(cuts, prepend=-1, append=len(ids)) - 1)
+                    continue
+            each = [e.ids for e in self.coder.encode_batch_fast(some, add_special_tokens=False)]
+            flats.append(np.array([i for x in each for i in x], np.int32))
+            counts.append(np.array([len(x) for x in each], np.int64))
+        return np.concatenate(flats), np.concatenate(counts)
+
+
+def slices(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about SLICE bytes of that column's texts."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = upto[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(upto, before + SLICE, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def ids_of_texts(memo: PieceMemo, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts end to end, and the count of each text."""
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     words = lists.flatten().dictionary_encode()
-    flat, each = gathered(memo.ids(words.dictionary.to_pylist()), words.indices.to_numpy(zero_copy_only=False))
+    flat, each = memo.ids(words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False))
     ends = np.append(0, np.cumsum(each))
     bounds = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))
     return flat, np.diff(ends[bounds])
@@ -116,8 +140,7 @@ def encode(docs: DataFrame, vocab_file: str, end_id: int | None = END_ID) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = kept(f"pieces:{vocab_file}", lambda: PieceMemo(vocab_file))
         for big in batches:
-            for at in range(0, big.num_rows, 300):
-                b = big.slice(at, 300)
+            for b in slices(big):
                 flat, counts = ids_of_texts(memo, b.column(1))
                 if end_id is not None:
                     flat = np.insert(flat, np.cumsum(counts), np.int32(end_id))
@@ -250,8 +273,7 @@ def write_file(docs: DataFrame, vocab_file: str, end_id: int = END_ID) -> tuple[
         if memo.size > 1 << 16:
             raise ValueError("ids of more than 16 bits")
         for big in batches:
-            for at in range(0, big.num_rows, 300):
-                b = big.slice(at, 300)
+            for b in slices(big):
                 flat, counts = ids_of_texts(memo, b.column(1))
                 flat = np.insert(flat, np.cumsum(counts), np.int32(end_id)).astype("<u2")
                 ends = np.append(0, np.cumsum(counts + 1)) * 2
