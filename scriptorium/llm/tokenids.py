@@ -1,7 +1,8 @@
 """Token ids, and a binary file format for them with canonical Huffman codes.
 
 Encoding splits each text at ASCII white space (the tokenizer never joins
-across it), encodes every distinct piece of a batch once with the tokenizers
+across it) and, where the tokenizer's file allows it, between a letter and a
+mark, encodes every distinct piece of a batch once with the tokenizers
 library and keeps a bounded memo of pieces in each Python worker.
 
 File format.  A codebook row (block -1) holds the code length of every id: the
@@ -20,6 +21,7 @@ gives an empty file.  Only doc_id and text are read.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -40,6 +42,11 @@ MEMO = 250_000
 LONGEST = 64
 SLICE = 2_000_000
 END_ID = 2
+#: How a tokenizer's file says that A-Z are lowered, and that letters part from what follows (fixed values).
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Latin letters (but U+0130, lowered to two characters) before a mark: always a border of SPLIT.
+BORDER = r"([a-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}])([.,;:!?])"
 #: Stands alone between pieces; no other id belongs to it.
 MARK = "\x01"
 
@@ -95,11 +102,16 @@ class PieceMemo(Memo):
         self.size = self.coder.get_vocab_size()
         mark = self.coder.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        with open(vocab_file, encoding="utf-8") as f:
+            said = json.load(f)
+        normalizers = [x["type"] for x in (said.get("normalizer") or {}).get("normalizers", [])]
+        splits = [x.get("pattern", {}).get("Regex") for x in (said.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.fine = normalizers == NORMALIZERS and splits[:1] == [SPLIT]
 
     def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         flats, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-        for at in range(0, len(pieces), 2000):
-            some = pieces[at : at + 2000]
+        for at in range(0, len(pieces), 200):
+            some = pieces[at : at + 200]
             if self.mark is not None:
                 ids = np.array(self.coder.encode_batch_fast([f" {MARK} ".join(some)], add_special_tokens=False)[0].ids, np.int32)
                 cuts = np.flatnonzero(ids == self.mark)
@@ -126,7 +138,10 @@ def slices(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
 
 def ids_of_texts(memo: PieceMemo, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts end to end, and the count of each text."""
-    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    texts = pc.fill_null(texts, "")
+    if memo.fine:  # fewer distinct pieces, the same ids
+        texts = pc.replace_substring_regex(pc.ascii_lower(texts), BORDER, r"\1 \2")
+    lists = pc.ascii_split_whitespace(texts)
     words = lists.flatten().dictionary_encode()
     flat, each = memo.ids(words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False))
     ends = np.append(0, np.cumsum(each))

@@ -134,6 +134,27 @@ def test_byte_bpe(docs, texts, none):
     assert bytebpe.decode(bytebpe.encode(none, path, P.PATTERN), path).count() == 0
 
 
+def test_encoders_on_odd_strings():
+    """Both encoders equal their libraries on strings of marks, spaces, accents and letters that lower oddly."""
+    import pyarrow as pa
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    r = random.Random(1)
+    odd = "aAz.,;:!?'sS\n\t 9\x01\u0130\u0130\u00df\u03a3\u2260\u00f1\u6f22\u0345\u0307\u0301\u0338\u00c5\u00a0\u037e"
+    texts = [None, "", " ", "  a", "a "] + ["".join(r.choices(odd, k=r.randint(1, 30))) for _ in range(3000)]
+    word, ranks = P.path("word_bpe_49k.json"), P.path("byte_bpe_multi_50k.tiktoken")
+    library = Tokenizer.from_file(word)
+    bytewise = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bytebpe.read_ranks(ranks), special_tokens={})
+    memo, coder = tokenids.PieceMemo(word), bytebpe.Coder(ranks, P.PATTERN)
+    assert memo.fine
+    for of, own in ((lambda t: library.encode(t, add_special_tokens=False).ids, lambda x: tokenids.ids_of_texts(memo, x)), (bytewise.encode_ordinary, coder.ids_of_texts)):
+        flat, counts = own(pa.array(texts))
+        ends = np.append(0, np.cumsum(counts))
+        for i, t in enumerate(texts):
+            assert flat[ends[i] : ends[i + 1]].tolist() == of(t or ""), repr(t)
+
+
 @pytest.mark.parametrize("hot", [1024, 2])
 def test_repeats(docs, texts, none, hot):
     got = by_id(repeats.remove_repeats(docs, length=80, k=32, stride=40, hot=hot))
