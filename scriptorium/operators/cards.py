@@ -171,7 +171,44 @@ def sc23_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.where(F.col("source").isin("stub", "household", "machinery")).groupBy("source").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (pj3_cards, pj7_salaries, pj8_letters, pj9_tailored, pj13_bullets, pj15_preview, pj16_stats, pj18_fonts, sc19_nested, sc23_sources, sc26_records, sc31_catalog, sk3_upserted, sk5_listing)}
+def looked_up(text: Column, names: list[str]) -> list[Column]:
+    """The value of each `Name: value` line, null where there is none."""
+    return [F.nullif(F.trim(F.regexp_extract(text, f"(?m)^{n}:([^\\n]*)$", 1)), F.lit("")).alias(n.lower()) for n in names]
+
+
+def first_readable(candidates: list[Column], least: int = 100) -> Column:
+    """The first candidate text with more than `least` characters, else the first that isn't blank."""
+    return F.coalesce(*[F.when(F.length(F.trim(x)) > least, x) for x in candidates], *[F.when(F.trim(x) != "", x) for x in candidates])
+
+
+def best_of_type(found: DataFrame, kind: str, by: str, order: str) -> DataFrame:
+    """Of each kind the row with the highest `by`, the first in order on ties."""
+    rank = F.row_number().over(Window.partitionBy(kind).orderBy(F.col(by).desc(), order))
+    return found.withColumn("_r", rank).where("_r = 1").drop("_r")
+
+
+def pj20_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.concat(F.lit("intro\nTitle: "), F.col("p_name"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("\nBrand: "), F.col("p_brand"))).otherwise(""), F.lit("\nend"))
+    return read(spark, sf_dir, "part").select("p_partkey", *looked_up(t, ["Title", "Brand", "Place"]))
+
+
+def vt6_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = [F.when(F.col("doc_id") % 3 == 0, F.left("text", F.lit(50))), F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(""), F.lit("placeholder")]
+    return read(spark, sf_dir, "documents").select("doc_id", first_readable(c).alias("text"))
+
+
+def so11_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "part").select("p_brand", "p_size", "p_partkey", "p_name")
+    return best_of_type(p, "p_brand", "p_size", "p_partkey")
+
+
+def ag13_passed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate of expected values by kind, and the change in length in percent."""
+    e = read(spark, sf_dir, "part").select("p_brand", bullets(F.concat(F.lit("- "), F.col("p_name"))).alias("actual"), F.concat(F.when(F.col("p_partkey") % 4 > 0, "• ").otherwise("- "), F.col("p_name")).alias("expected"))
+    return e.groupBy("p_brand").agg(F.count("*").alias("cases"), F.avg((F.col("actual") == F.col("expected")).cast("double")).alias("rate"), F.sum(F.length("expected") - F.length("actual")).cast("long").alias("delta"))
+
+
+QUERIES = {f.__name__: f for f in (pj3_cards, pj7_salaries, pj8_letters, pj9_tailored, pj13_bullets, pj15_preview, pj16_stats, pj18_fonts, sc19_nested, sc23_sources, sc26_records, sc31_catalog, sk3_upserted, sk5_listing, pj20_fields, vt6_fallback, so11_best, ag13_passed)}
 ORACLE_SQL = {
     "pj3_cards": r"""SELECT p_partkey, concat_ws(E'\n', p_name, repeat('-', length(p_name)), 'Company: ' || p_brand, CASE WHEN p_partkey % 2 = 0 THEN 'Place: ' || p_type END, left(repeat(p_type, 30), 300)) AS card,
  md5(regexp_replace(repeat(p_type, 12), '(?s)(.{70})', E'\\1\n', 'g')) AS wrapped_md5 FROM part""",
@@ -189,4 +226,8 @@ ORACLE_SQL = {
     "sc31_catalog": "SELECT concat('search_', o_custkey) AS name, strftime(max(o_orderdate), '%Y-%m-%d') AS timestamp, CAST(count(*) AS INTEGER) AS result_count FROM orders WHERE o_custkey % 7 <> 0 GROUP BY o_custkey",
     "sk3_upserted": "SELECT * FROM (SELECT CAST(c_custkey AS BIGINT) AS app_id, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT s_suppkey, s_name FROM supplier) WHERE app_id <> 3",
     "sk5_listing": "SELECT p_partkey, concat('{\"title\":\"', p_name, '\",\"size\":', p_size, '}') AS json, CASE WHEN length(concat_ws(' ', p_name, p_type, p_brand)) > 30 THEN concat(left(concat_ws(' ', p_name, p_type, p_brand), 27), '...') ELSE concat_ws(' ', p_name, p_type, p_brand) END AS text FROM part",
+    "pj20_fields": "SELECT p_partkey, p_name AS title, CASE WHEN p_size % 2 = 0 THEN p_brand END AS brand, CAST(NULL AS VARCHAR) AS place FROM part",
+    "vt6_fallback": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND length(trim(text)) > 100 THEN text WHEN doc_id % 3 = 0 AND trim(left(text, 50)) <> '' THEN left(text, 50) WHEN doc_id % 2 = 0 AND trim(text) <> '' THEN text ELSE 'placeholder' END AS text FROM documents",
+    "so11_best": "SELECT p_brand, p_size, p_partkey, p_name FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS r FROM part) WHERE r = 1",
+    "ag13_passed": "SELECT p_brand, count(*) AS cases, avg(CASE WHEN p_partkey % 4 > 0 THEN 1.0 ELSE 0.0 END) AS rate, CAST(0 AS BIGINT) AS delta FROM part GROUP BY p_brand",
 }
