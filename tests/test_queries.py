@@ -73,3 +73,17 @@ def test_half_even_scores(spark):
 
     df = spark.createDataFrame([(1, 8), (3, 8), (0, 0)], "p int, t int").select(score(F.col("p"), F.col("t")).alias("s"))
     assert [r.s for r in df.collect()] == [12, 38, 0]
+
+
+def test_new_expressions_on_nulls_and_empty_texts(spark):
+    from pyspark.sql import functions as F
+
+    from scriptorium.operators import cards, layout
+
+    df = spark.createDataFrame([(1, None, None), (2, "", 5), (3, "- a\n* b", None)], "k int, t string, n int")
+    got = {r.k: r for r in df.select("k", cards.bullets(F.col("t")).alias("b"), cards.salary(F.lit(1000), F.col("n")).alias("s"), layout.slice_of(F.col("t"), F.lit("a"), F.lit("xyz")).alias("p")).collect()}
+    assert (got[1].b, got[2].b, got[3].b) == (None, "", "• a\n• b")
+    assert (got[1].s, got[2].s) == ("$1,000+", "$1,000 - $5")
+    assert got[2].p == "xyz"
+    p = spark.createDataFrame([([1, 2, 4, 6, 7],), ([],)], "p array<int>").select(layout.spaced(F.col("p")).alias("x"))
+    assert [r.x for r in p.collect()] == [[1, 4, 7], []]
