@@ -1,10 +1,11 @@
 """Licence scan by sentence rules; DataFrame expressions only, one pass, no exchange.
 
-A text is cut into sentences at line ends and at . ! ? followed by white space
-or the end.  Each sentence is normalised (lower case, all but ASCII letters and
-digits to one space) and looked up among the known licence sentences; the known
-identifiers, in order, are a document's sequence.  Ordered rules then rewrite
-the sequence: a rule that finds its identifiers in a row claims them for its
+Sentences end at blank lines and at . ! ? followed by white space or the end; a
+single line end may end a sentence or lie inside one (wrapped texts, also with
+comment signs before each line).  Texts are normalised (lower case, all but
+ASCII letters and digits to one space) and known licence sentences are found
+between such ends, the longest first; their identifiers, in order, are a
+document's sequence.  Ordered rules then rewrite the sequence: a rule that finds its identifiers in a row claims them for its
 licence, so a longer rule before a shorter one wins.  Identifiers that no rule
 claims are reported as unclaimed.
 
@@ -47,6 +48,10 @@ SENTENCES = {
     "bsd.redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "reserved": "All rights reserved",
 }
+# Other wordings of the same identifiers; the MIT text goes on after "without restriction".
+WORDINGS = {
+    "mit.grant": [SENTENCES["mit.grant"] + ", including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"],
+}
 # Ordered rules, licence and identifiers in a row.
 RULES = [
     ("Apache-2.0", ["apache2.notice.you", "apache2.copy", "apache2.asis", "apache2.see"]),
@@ -65,28 +70,34 @@ RULES = [
     ("CC0-1.0", ["cc0.notice"]),
     ("BSD", ["bsd.redistribution"]),
 ]
-BORDER = r"[.!?]+(\s+|$)|\n+"
+END = "E"  # no capital is left in lower-cased text
 
 
 def normalised(sentence: str) -> str:
     return re.sub(r"[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
-def sequence(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
+def bordered(text: Column) -> Column:
+    """Normalised words; END between sentences, a line end where a line ends inside a paragraph."""
+    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[.!?]+(\s+|$)", END)
+    t = F.regexp_replace(t, f"[^a-z0-9\n{END}]+", " ")
+    t = F.regexp_replace(t, " ?\n ?\n[\n ]*", END)  # lines without letters and digits are blank
+    return F.trim(F.regexp_replace(t, f" ?([\n{END}]) ?", "$1"))
+
+
+def sequence(text: Column, sentences: dict[str, str] = SENTENCES, wordings: dict[str, list[str]] = WORDINGS) -> Column:
     """array<string>: identifiers of the known sentences of a text, in order."""
     known = {}
-    for name, said in sentences.items():
+    for name, said in [*((n, w) for n, ws in wordings.items() if n in sentences for w in ws), *sentences.items()]:
         parts = [p for p in re.split(r"[.!?]+(?:\s+|$)|\n+", said) if p]
         if len(parts) != 1:
             raise ValueError(f"{name} is more than one sentence")
         known[normalised(parts[0])] = name
-    longest = max(map(len, sentences.values())) * 3
     ids = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
-    # a sentence far longer than any known one can't be one; all others are normalised
-    short = F.filter(F.split(F.coalesce(text, F.lit("")), BORDER), lambda s: (F.length(s) >= 8) & (F.length(s) <= longest))
-    plain = F.transform(short, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    hits = F.filter(plain, lambda s: s.isin(list(known)))
-    return F.transform(hits, lambda s: F.element_at(ids, s))
+    # a line end may stand for each space; no known sentence starts or ends inside a line's words
+    any_of = "|".join(s.replace(" ", "[ \n]") for s in sorted(known, key=len, reverse=True))
+    hits = F.regexp_extract_all(bordered(text), F.lit(f"(?<![ a-z0-9])({any_of})(?![ a-z0-9])"), 1)
+    return F.transform(hits, lambda s: F.element_at(ids, F.translate(s, "\n", " ")))
 
 
 def licences(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
