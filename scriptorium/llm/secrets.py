@@ -1,10 +1,15 @@
 """Secret scan: token-like candidates, and a random forest that removes false positives.
 
 A candidate is a run of MIN_LENGTH or more characters of [A-Za-z0-9+/_-] (with
-closing "=") that holds a digit.  Features: length; shares of digits, capitals
-and signs; entropy; character transitions (changes of class, and doubled
-characters); share of the letters covered by dictionary words; known prefixes;
-hints in the path (here the source) and in the words next to it.  The forest is
+closing "="), or, whatever its length and characters, the quoted or unquoted
+value after a KEYISH word and = or : on the same line, and after "Bearer".  An
+unquoted value ends at white space or a quote, without closing , ; . and brackets.
+Features: length; shares of digits, capitals and signs; entropy; character
+transitions (changes of class, and doubled characters); share of the letters
+covered by dictionary words; known prefixes; hints in the path (here the source)
+and in the words next to it; whether it is quoted, assigned to a key, of several
+words, or a placeholder or expression.  Short values without a key before them
+are no candidates.  Secrets that overlap are reported as one.  The forest is
 trained on labelled findings: a list of (text, start, end, path, is_secret).
 labelled_findings() makes a seeded set of invented ones; any other can be given.
 
@@ -36,6 +41,12 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{%d,}={0,2}" % MIN_LENGTH)
 #: Words next to a candidate that speak for a secret, and those that speak against one.
 KEYISH = re.compile(r"(?i)token|secret|passw|passwd|pwd|api[_ -]?key|apikey|auth|bearer|credential|private|access[_ -]?key|session")
 HARMLESS = re.compile(r"(?i)sha-?\d|md5|commit|checksum|digest|hash|etag|uuid|guid|revision|build|version|example|sample|dummy|placeholder|test|image|src=|href|url|http|isbn|order|invoice|call|phone")
+#: A key up to its sign, the sign, and the value after it (quoted or not).
+KEYED = re.compile(r"(?i)(?:%s)[\w.\-\[\]]*[\"'\])]*[ \t]*$" % KEYISH.pattern[4:])
+STRONG = re.compile(r"(?i)(?:passw|pwd|secret|token|api[_ -]?key|access[_ -]?key|credential|private[_ -]?key|bearer)[\w.\-\[\]]*[\"'\])]*[ \t]*(?:[:=][:=>]*[ \t]*)?(?:(?:bearer|basic|token)[ \t]+)?[\"'`]?$")
+SIGN = re.compile(r"[:=][:=>]*[ \t]*|\b[Bb](?:earer|EARER)[ \t]+")
+VALUE = re.compile(r"""(?i:(?:bearer|basic|token)[ \t]+)?(?:"((?:[^"\\\n]|\\.)+)"|'((?:[^'\\\n]|\\.)+)'|`([^`\n]+)`|["'`]?([^\s"'`][^\s"`]*))""")
+PLACEHOLDER = re.compile(r"(?i)^[$<%{\[(]|\(|\b(?:environ|getenv|none|null|nil|true|false|required|optional|string|str|int|bool|undefined)\b|your[_ -]|x{4}|\*{3}|\.{3}|://")
 ASSIGNED = re.compile(r"[:=]\s*[\"']?$")
 PREFIX = re.compile(r"^(AKIA|ASIA|ghp_|gho_|ghs_|glpat-|xox[abp]-|sk_live_|sk_test_|rk_live_|AIza|eyJ|npm_|pypi-)")
 HARMLESS_PATH = re.compile(r"(?i)test|example|sample|doc|fixture|mock|vendor|lock")
@@ -60,7 +71,7 @@ start state static status step stop storage store stream string style sub sum su
 tab table tag target task team temp template test text theme thread ticket time title token tool top total trace track
 transfer tree trigger true type unit update upload url user util valid value vector vendor version video view visible
 visit volume wait wall warning watch web week weight width window word work world write year your zone""".split()
-NAMES = ("length", "digits", "capitals", "signs", "entropy", "transitions", "doubled", "coverage", "hex", "prefix", "keyish", "harmless", "assigned", "harmless_path", "distinct")
+NAMES = ("length", "digits", "capitals", "signs", "entropy", "transitions", "doubled", "coverage", "hex", "prefix", "keyish", "harmless", "assigned", "harmless_path", "distinct", "quoted", "strong", "blanks", "placeholder")
 
 
 def coverage(text: str, words: frozenset, longest: int) -> float:
@@ -95,11 +106,23 @@ def features(text: str, start: int, end: int, path: str, words: frozenset = froz
         coverage(own, words, 12), float(bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", own))), float(bool(PREFIX.match(own))),
         float(bool(KEYISH.search(near))), float(bool(HARMLESS.search(near + " " + " ".join(after.split()[:2])))), float(bool(ASSIGNED.search(before))),
         float(bool(HARMLESS_PATH.search(path))), len(share) / n,
+        float(before[-1:] in ("'", '"', "`") and after[:1] == before[-1:]), float(bool(STRONG.search(before))), float(len(own.split()) - 1), float(bool(PLACEHOLDER.search(own))),
     ]
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in CANDIDATE.finditer(text) if any(c.isdigit() for c in m.group())]
+    """Spans of runs and of values assigned to keys, in order; they may overlap."""
+    found = {m.span() for m in CANDIDATE.finditer(text)}
+    for sign in SIGN.finditer(text):
+        at = sign.start()
+        if text[at] in ":=" and not KEYED.search(text[max(0, at - AROUND) : at]):
+            continue
+        if value := VALUE.match(text, sign.end()):
+            a, b = value.span(value.lastindex)
+            if value.lastindex == 4:
+                b = a + len(value[4].rstrip(",;.)]}>'") or value[4])
+            found.add((a, b))
+    return sorted(found)
 
 
 def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, int, int, str, int]]:
@@ -109,6 +132,38 @@ def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, int, int,
     chars = lambda alphabet, k: "".join(pick(alphabet) for _ in range(k))
     hexes, alnum = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     prose = lambda k: " ".join(chars("etaoinshrdlu", int(rng.integers(2, 9))) for _ in range(k))
+    letters, signs = alnum[:52], "@!$%.:#&*?-_+~^"
+    assigned = ["password = ", "password: ", "passwd=", "pwd: ", "DB_PASSWORD=", "\"password\": ", "secret: ", "client_secret=", "api_key = ", "token: ", "TOKEN=", "Authorization: Bearer "]
+
+    def short() -> str:
+        """Passwords and the like: short, without digits, or with signs."""
+        size = int(rng.integers(6, 16))
+        return pick([
+            lambda: chars(alnum, size), lambda: pick(WORDS) + str(int(rng.integers(10, 9999))) + chars(letters[26:], int(rng.integers(0, 4))), lambda: chars(letters[26:], size), lambda: chars(letters, size + 8),
+            lambda: chars(alnum + signs * 2, size), lambda: chars(alnum, 5) + pick(signs) + chars(alnum + signs, size), lambda: pick(WORDS).title() + pick(signs[:4]) + str(int(rng.integers(9999))) + pick("!.$?"),
+            lambda: pick(["-", "", "_", " "]).join(pick(WORDS) for _ in range(4)),
+        ])()
+
+    def harmless() -> tuple[str, str]:
+        """Values after keys that are none: words of prose, types, placeholders, expressions, numbers."""
+        word = lambda: pick([pick(WORDS), pick(WORDS), prose(1)])
+        return pick([
+            lambda: (pick([word(), word().title()]), pick(["author: ", "Author: ", "Authors: ", "session: ", "Session: ", "private: ", "auth: ", "credentials: "])),
+            lambda: (pick(["required", "string", "None", "null", "true", "false", "optional", "str", "undefined"]), pick(assigned)),
+            lambda: (pick(["${%s}", "<%s>", "{{ %s }}", "your_%s", "your-%s", "os.environ[%s]", "getenv(%s)", "get_%s()", "$%s", "%%%s%%", "config.get(%s)"]) % pick(["password", "token", "secret", "API_KEY", "DB_PASSWORD", pick(WORDS)]), pick(assigned)),
+            lambda: (pick("*x.") * int(rng.integers(3, 12)), pick(assigned)), lambda: (str(int(rng.integers(0, 99))), pick(["session: ", "tokens: ", "max_tokens = ", "token: ", "auth: ", "Session "])),
+            lambda: ("https://host.example/" + pick(WORDS), pick(["auth_url = ", "token: ", "session: "])), lambda: ("%d:%02d" % (rng.integers(24), rng.integers(60)), pick(["session: ", "Session: "])),
+            lambda: (prose(int(rng.integers(2, 7))), pick(["author: ", "session: ", "private: ", "auth: "])),
+        ])()
+
+    def digit_free() -> tuple[str, str]:
+        """Runs of MIN_LENGTH or more without digits in prose and code."""
+        return pick([
+            lambda: (pick("-_=+/") * int(rng.integers(16, 90)), ""), lambda: (pick("_-/").join(pick(WORDS) for _ in range(int(rng.integers(4, 7)))), pick(["", "see ", "path ", "key: ", "open "])),
+            lambda: (chars("etaoinshrdlu", int(rng.integers(16, 30))), pick(["", "the ", "die "])), lambda: ("-".join(prose(1) for _ in range(5)), pick(["", "the ", "https://host.example/"])),
+            lambda: ("".join(pick(WORDS).title() for _ in range(4)), pick(["class ", "call ", "", "new "])), lambda: ("_".join(pick(["API", "KEY", "TOKEN", "SECRET", pick(WORDS).upper()]) for _ in range(4)), ""),
+        ])()
+
     out = []
     while len(out) < n:
         secret = len(out) % 2
@@ -116,9 +171,10 @@ def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, int, int,
             value = pick([
                 lambda: chars(hexes, pick([32, 40, 40, 48, 64])), lambda: "AKIA" + chars(alnum[:26] + "0123456789", 16), lambda: "ghp_" + chars(alnum, 36),
                 lambda: "sk_live_" + chars(alnum, 24), lambda: chars(alnum + "+/", 40), lambda: "AIza" + chars(alnum + "-_", 35), lambda: "xoxb-" + chars("0123456789", 11) + "-" + chars(alnum, 24),
-                lambda: "eyJ" + base64.urlsafe_b64encode(prose(8).encode()).decode().strip("="), lambda: chars(alnum + "_-", int(rng.integers(18, 44))),
+                lambda: "eyJ" + base64.urlsafe_b64encode(prose(8).encode()).decode().strip("="), lambda: chars(alnum + "_-", int(rng.integers(18, 44))), *[short] * 6,
             ])()
-            lead = pick(["token = ", "token: ", "api_key = ", "API_KEY=", "secret: ", "password = ", "Authorization: Bearer ", "access_key = ", "client_secret=", "auth ", "TOKEN = ", "apikey "])
+            # a short value, or one with signs or blanks, is a secret by its key only
+            lead = pick(assigned if not CANDIDATE.fullmatch(value) or not any(c.isdigit() for c in value) else ["token = ", "token: ", "api_key = ", "API_KEY=", "secret: ", "password = ", "Authorization: Bearer ", "access_key = ", "client_secret=", "auth ", "TOKEN = ", "apikey "])
             path = pick(["", "", "src/main.py", "config/settings.yml", "src7", "web", ".env", "tests/data"])
         else:
             value, lead = pick([
@@ -129,16 +185,15 @@ def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, int, int,
                 lambda: (chars("0123456789", int(rng.integers(16, 22))), pick(["", "order ", "card ", "invoice ", prose(1) + " "])), lambda: ("_".join(pick(WORDS) for _ in range(4)) + "_" + str(int(rng.integers(99))), pick(["", "token = ", "set ", "key: "])),
                 lambda: (pick(["x", "0", "1", "a1"]) * 20 + "0", pick(["token = ", "key: ", "password = "])), lambda: ("your_api_key_here_" + str(int(rng.integers(99))), pick(["token = ", "api_key="])),
                 lambda: (base64.b64encode(prose(12).encode()).decode().strip("=") + "1", pick(["image ", "src=data:image/png;base64,", "url("])),
+                *[harmless, digit_free] * 4,
             ])()
             path = pick(["", "", "README.md", "docs/guide", "tests/data", "src3", "package-lock", "web"])
-        quote = pick(['"', '"', "'", ""])
+        quote = pick(['"', '"', "'", ""]) if secret else pick(['"', "'", "", ""])
+        if " " in value and not quote:
+            quote = '"'
         head = prose(int(rng.integers(0, 7))) + " " + lead + quote
-        text = head + value + quote + " " + prose(int(rng.integers(0, 7)))
-        found = [s for s in candidates(text) if s[0] >= len(head) - 1]
-        if found:
-            out.append((text, *found[0], path, secret))
-        elif not secret:
-            out.append((text, len(head), len(head) + len(value), path, 0))
+        # every finding stays, whether or not candidates() sees it: what it misses counts as missed
+        out.append((head + value + quote + " " + prose(int(rng.integers(0, 7))), len(head), len(head) + len(value), path, secret))
     return out
 
 
@@ -192,7 +247,8 @@ def train(findings: list[tuple[str, int, int, str, int]], trees: int = 40, depth
                 gain[(v[1:] == v[:-1]) | (k < 2) | (len(v) - k < 2)] = 0
                 i = int(np.argmax(gain))
                 if gain[i] > best[0]:
-                    best = (gain[i], int(f), (v[i] + v[i + 1]) / 2)
+                    middle = (v[i] + v[i + 1]) / 2  # may round up to v[i + 1], which would leave one side empty
+                    best = (gain[i], int(f), middle if middle < v[i + 1] else v[i])
             if best[1] < 0:
                 return me
             low = x[rows, best[1]] <= best[2]
@@ -212,11 +268,24 @@ def train(findings: list[tuple[str, int, int, str, int]], trees: int = 40, depth
 
 
 def judged(texts: list[str | None], paths: list[str | None], forest: Forest) -> list[list[tuple[int, int, float]]]:
-    """(start, end, score) of each text's candidates."""
+    """(start, end, score) of each text's candidates; secrets that overlap become one with the highest score."""
     spans = [candidates(t or "") for t in texts]
     x = [features(t, a, b, p or "") for t, p, own in zip(texts, paths, spans, strict=True) for a, b in own]
     score = iter(forest.predict(np.array(x)).tolist() if x else [])
-    return [[(a, b, next(score)) for a, b in own] for own in spans]
+    out = []
+    for own in spans:
+        merged: list[tuple[int, int, float]] = []
+        rejected = []
+        for a, b in own:
+            s = next(score)
+            if s < CUT:
+                rejected.append((a, b, s))
+            elif merged and a < merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(b, merged[-1][1]), max(s, merged[-1][2]))
+            else:
+                merged.append((a, b, s))
+        out.append(sorted(merged + rejected))
+    return out
 
 
 def _path(docs: DataFrame):

@@ -2,7 +2,9 @@
 
 import textwrap
 
-from scriptorium.llm import licences
+import numpy as np
+
+from scriptorium.llm import licences, secrets
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -32,3 +34,31 @@ def test_wrapped_licences(spark):
     assert [got[i].licences for i in range(len(texts))] == [["MIT"], ["Apache-2.0"], ["Apache-2.0"], ["MIT"], ["MIT"], ["GPL-3.0-or-later"], ["MIT"], ["MIT"], [], ["MIT"], [], ["BSD"]]
     assert got[2].sentence_ids == ["apache2.notice.you", "apache2.copy", "apache2.asis", "apache2.see"] and got[0].sentence_ids == ["mit.grant", "mit.condition"]
     assert all(not got[i].unclaimed for i in got)
+
+
+def test_short_digit_free_and_punctuated_secrets(spark):
+    said = ['password = "hunter2abc"', "pwd=Tr0ub4dor&3", 'secret: "correcthorsebatterystaple"', 'DB_PASSWORD="P@ss!w$rd.x:y"', "Authorization: Bearer abc.dEf", '{"password": "one two!three", "n": 1}']
+    values = ["hunter2abc", "Tr0ub4dor&3", "correcthorsebatterystaple", "P@ss!w$rd.x:y", "abc.dEf", "one two!three"]
+    harmless = ["password: required", "Author: Jane Smith wrote", "token = ${API_TOKEN}", "password=None", "the secret: we met at noon", "see session: 12", "-" * 40, "Donaudampfschifffahrtsgesellschaft"]
+    rows = [(i, "so " + t + " it", "") for i, t in enumerate(said + harmless)] + [(90, None, None), (91, "", None), (92, "password=", None), (93, 'token: "', None)]
+    forest = secrets.default_forest()
+    clean = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame(rows, SCHEMA), forest).collect()}
+    for i, v in enumerate(values):
+        assert clean[i] == rows[i][1].replace(v, "[REDACTED]")
+    assert all(clean[i] == t for i, t, _ in rows[len(values) :])
+
+
+def test_no_labelled_secret_is_left_out():
+    forest = secrets.default_forest()
+    assert not np.isnan(forest.value).any()
+    held_out = [f for f in secrets.labelled_findings(1000, seed=5) if f[4]]
+    assert len(held_out) == 500 and sum(f[2] - f[1] < secrets.MIN_LENGTH for f in held_out) > 100
+    found = secrets.judged([f[0] for f in held_out], [f[3] for f in held_out], forest)
+    assert np.mean([any(a <= f[1] and b >= f[2] and s >= secrets.CUT for a, b, s in own) for f, own in zip(held_out, found, strict=True)]) > 0.95
+
+
+def test_overlapping_secrets_are_one():
+    forest = secrets.default_forest()
+    text = 'password = "abcDEF1234567890abcd!x$Q"'
+    (got,) = [[x for x in own if x[2] >= secrets.CUT] for own in secrets.judged([text], [""], forest)]
+    assert [text[a:b] for a, b, _ in got] == ["abcDEF1234567890abcd!x$Q"]
