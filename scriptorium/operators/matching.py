@@ -29,6 +29,25 @@ def matched(texts: DataFrame, asked: DataFrame, doc: str = "doc_id", item: str =
     return hits.join(totals, item).select(doc, item, "present", "total", score(F.col("present"), F.col("total")).alias("score"))
 
 
+def asked_keywords(df: DataFrame, key: str) -> DataFrame:
+    """key, keyword, word (in lower case), rank: skills that the text names, then words of the top 20 that occur more than once."""
+    skills = [s for names in SKILLS.values() for s in names]
+    own = words(F.col("text"))
+    hits = F.filter(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(s).alias("keyword"), F.lit(s.lower()).alias("word")) for i, s in enumerate(skills)]), lambda x: F.array_contains(own, x["word"]))
+    named = df.select(key, F.explode(hits).alias("h")).select(key, "h.keyword", "h.word", "h.rank")
+    common = keywords(df, key).where((F.col("n") > 1) & ~F.col("word").isin([s.lower() for s in skills]))
+    return named.unionByName(common.select(key, F.col("word").alias("keyword"), "word", (F.col("rank") + 100).alias("rank")))
+
+
+def pairs(texts: DataFrame, asked: DataFrame, doc: str = "doc_id", item: str = "item_id") -> DataFrame:
+    """doc, item, present, missing, score: every pair that shares a keyword.  All other pairs have score 0 by definition, and no row."""
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("rank", "keyword"))), lambda x: x["keyword"]).alias(c)
+    own = texts.select(doc, F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
+    hits = own.join(asked, "word").groupBy(doc, item).agg(in_order("present"))
+    both = hits.join(asked.groupBy(item).agg(in_order("all")), item)
+    return both.select(doc, item, F.array_join("present", ",").alias("present"), F.array_join(F.array_except("all", "present"), ",").alias("missing"), score(F.size("present"), F.size("all")).alias("score"))
+
+
 def skill_columns(text) -> list:
     own = words(text)
     return [F.array_join(F.array_sort(F.filter(F.array(*[F.lit(s) for s in names]), lambda s: F.array_contains(own, F.lower(s)))), ",").alias(kind) for kind, names in SKILLS.items()]
@@ -45,6 +64,11 @@ def mt3_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).where("rank <= 5")
 
 
+def mt3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against every item that it shares a keyword with, by all keywords."""
+    return pairs(read(spark, sf_dir, "documents"), asked_keywords(read(spark, sf_dir, "benchmark"), "item_id"))
+
+
 def ag18_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resumes(spark, sf_dir).select("doc_id", *skill_columns(F.col("text")))
 
@@ -57,7 +81,7 @@ def mt4_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resumes(spark, sf_dir).select("doc_id", F.array_join(F.slice(missing, 1, 2), ",").alias("top_missing"), F.greatest(F.size(missing) - 2, F.lit(0)).alias("more"), F.when(n < 300, "short").when(n > 700, "long").otherwise("").alias("brevity"))
 
 
-QUERIES = {"ag2_keywords": ag2_keywords, "mt3_match": mt3_match, "ag18_skills": ag18_skills, "mt4_suggestions": mt4_suggestions}
+QUERIES = {"ag2_keywords": ag2_keywords, "mt3_match": mt3_match, "mt3_pairs": mt3_pairs, "ag18_skills": ag18_skills, "mt4_suggestions": mt4_suggestions}
 _STOP = ", ".join(f"'{w}'" for w in STOP)
 _KEYS = rf"""w AS (SELECT item_id, unnest(l) AS word, unnest(range(len(l))) AS pos FROM (SELECT item_id, list_filter(string_split_regex(lower(text), '[^A-Za-z0-9_]+'), lambda x: x <> '') AS l FROM benchmark)),
 c AS (SELECT item_id, word, count(*) AS n, min(pos) AS first FROM w WHERE length(word) > 2 AND word NOT IN ({_STOP}) GROUP BY ALL),
@@ -70,6 +94,12 @@ ORACLE_SQL = {
 o AS (SELECT doc_id, unnest({_OWN}) AS word FROM documents), h AS (SELECT doc_id, item_id, count(*) AS present FROM o JOIN a USING (word) GROUP BY ALL),
 s AS (SELECT doc_id, item_id, present, total, CAST(round_even(100.0 * present / total, 0) AS INTEGER) AS score FROM h JOIN t USING (item_id)),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= 5""",
+    "mt3_pairs": f"""WITH {_KEYS}, v AS (SELECT unnest({_WANT}) AS keyword, unnest(range(len({_WANT}))) AS rank),
+a AS (SELECT DISTINCT item_id, keyword, word, rank FROM w JOIN v ON lower(keyword) = word UNION ALL SELECT item_id, word, word, rank + 100 FROM k WHERE rank <= 20 AND n > 1 AND word NOT IN (SELECT lower(keyword) FROM v)),
+l AS (SELECT item_id, list(keyword ORDER BY rank) AS every FROM a GROUP BY item_id), o AS (SELECT doc_id, unnest({_OWN}) AS word FROM documents),
+h AS (SELECT doc_id, item_id, list(keyword ORDER BY rank) AS present FROM o JOIN a USING (word) GROUP BY ALL)
+SELECT doc_id, item_id, array_to_string(present, ',') AS present, array_to_string(list_filter(every, lambda x: NOT list_contains(present, x)), ',') AS missing,
+ CAST(round_even(100.0 * len(present) / len(every), 0) AS INTEGER) AS score FROM h JOIN l USING (item_id)""",
     "ag18_skills": f"WITH {RESUMES_SQL}, o AS (SELECT doc_id, {_OWN} AS own FROM resumes) SELECT doc_id, " + ", ".join(f"array_to_string(list_sort(list_filter([{', '.join(f"'{s}'" for s in names)}], lambda x: list_contains(own, lower(x)))), ',') AS {kind}" for kind, names in SKILLS.items()) + " FROM o",
     "mt4_suggestions": rf"""WITH {RESUMES_SQL}, o AS (SELECT doc_id, {_OWN} AS own, len(list_filter(string_split_regex(lower(text), '[^A-Za-z0-9_]+'), lambda x: x <> '')) AS n FROM resumes),
 m AS (SELECT doc_id, n, list_filter({_WANT}, lambda x: NOT list_contains(own, lower(x))) AS missing FROM o)
