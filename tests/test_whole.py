@@ -10,3 +10,15 @@ def test_pairs_have_all_keywords(spark):
     got = {r.doc_id: r for r in pairs(docs, asked).collect()}
     assert sorted(got) == list(range(8))  # all documents, not the best five
     assert {(r.present, r.missing, r.score) for r in got.values()} == {("Spark,worda,wordl", ",".join(often[1:-1]), 23)}
+
+
+def test_listing_has_all_applications_offers_first(spark):
+    from scriptorium.operators.tracking import LISTED, listing
+
+    states = [*LISTED, "unknown"]
+    apps = spark.createDataFrame([(i, states[i % 7], None if i % 3 == 0 else f"2024-01-{i % 28 + 1:02d}") for i in range(350)], "app_id int, status string, applied_date string")
+    got = listing(apps, today="2024-06-01").collect()
+    assert len(got) == 350 and [r.priority for r in got] == sorted(r.priority for r in got)
+    assert (got[0].status, got[-1].status, got[-1].priority) == ("offered", "unknown", 99)
+    assert {r.date for r in got if r.app_id % 3 == 0} == {"2024-06-01"}
+    assert [r.status for r in listing(apps, "applied").collect()] == ["applied"] * 50
