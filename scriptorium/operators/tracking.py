@@ -43,6 +43,13 @@ def folded(events: DataFrame) -> DataFrame:
     )
 
 
+def noted(events: DataFrame) -> DataFrame:
+    """app_id, n_notes, notes: every event in order as a line "[yyyy-MM-dd HH:mm:ss] kind"."""
+    line = F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("] "), F.coalesce("kind", F.lit("")))
+    notes = F.array_sort(F.collect_list(F.struct("ts", "seq", F.coalesce(line, F.col("kind"), F.lit("")).alias("note"))))
+    return events.groupBy("app_id").agg(F.count("*").alias("n_notes"), F.array_join(F.transform(notes, lambda x: x["note"]), "\n").alias("notes"))
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(F.col("user_id").alias("app_id"), F.col("event_id").alias("seq"), "ts", F.col("event_type").alias("kind"))
 
@@ -51,6 +58,10 @@ def tr5_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded(events(spark, sf_dir))
 
 
+def tr3_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return noted(events(spark, sf_dir))
+
+
 def ag6_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded(events(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("n"), F.min("applied_date").alias("first_applied"))
 
@@ -108,7 +119,7 @@ def sk7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n").cast("binary")).alias("md5"))
 
 
-QUERIES = {"tr5_states": tr5_states, "ag6_by_status": ag6_by_status, "so2_listing": so2_listing, "so2_applications": so2_applications, "sc20_payloads": sc20_payloads, "se1_federated": se1_federated, "wn7_spans": wn7_spans, "sk7_chat": sk7_chat}
+QUERIES = {"tr5_states": tr5_states, "tr3_notes": tr3_notes, "ag6_by_status": ag6_by_status, "so2_listing": so2_listing, "so2_applications": so2_applications, "sc20_payloads": sc20_payloads, "se1_federated": se1_federated, "wn7_spans": wn7_spans, "sk7_chat": sk7_chat}
 _STATUS = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STATES.items()) + " END"
 _FOLD = f"""f AS (SELECT user_id AS app_id, arg_max(status, (ts, event_id)) AS status, strftime(min(CASE WHEN status = 'applied' THEN ts END), '%Y-%m-%d') AS applied_date, count(*) AS n_events,
  array_to_string(list(event_type ORDER BY ts, event_id)[1:3], ';') AS first_events FROM (SELECT *, {_STATUS} AS status FROM events) GROUP BY user_id)"""
@@ -116,6 +127,7 @@ _PRIO = "CASE status " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in PRIORITY.it
 _LISTED = "CASE status " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in LISTED.items()) + " ELSE 99 END"
 ORACLE_SQL = {
     "tr5_states": f"WITH {_FOLD} SELECT * FROM f",
+    "tr3_notes": r"SELECT user_id AS app_id, count(*) AS n_notes, string_agg(concat('[', strftime(ts, '%Y-%m-%d %H:%M:%S'), '] ', event_type), E'\n' ORDER BY ts, event_id) AS notes FROM events GROUP BY user_id",
     "ag6_by_status": f"WITH {_FOLD} SELECT status, count(*) AS n, min(applied_date) AS first_applied FROM f GROUP BY status",
     "so2_listing": f"WITH {_FOLD} SELECT app_id, status, CAST({_PRIO} AS INTEGER) AS priority, coalesce(applied_date, '9999-12-31') AS date FROM f ORDER BY priority, date, app_id LIMIT 100",
     "so2_applications": f"WITH {_FOLD} SELECT app_id, status, CAST({_LISTED} AS INTEGER) AS priority, coalesce(applied_date, '9999-12-31') AS date FROM f ORDER BY priority, date, app_id",

@@ -22,3 +22,12 @@ def test_listing_has_all_applications_offers_first(spark):
     assert (got[0].status, got[-1].status, got[-1].priority) == ("offered", "unknown", 99)
     assert {r.date for r in got if r.app_id % 3 == 0} == {"2024-06-01"}
     assert [r.status for r in listing(apps, "applied").collect()] == ["applied"] * 50
+
+
+def test_all_notes_stay_with_their_times(spark):
+    from scriptorium.operators.tracking import noted
+
+    e = spark.createDataFrame([(1, i, f"2024-01-{i:02d} 10:00:00", f"k{i}") for i in range(28, 0, -1)] + [(2, 1, "2024-02-01 00:00:01", None), (2, 2, None, "x")], "app_id int, seq int, ts string, kind string")
+    got = {r.app_id: r for r in noted(e.withColumn("ts", e["ts"].cast("timestamp"))).collect()}
+    assert got[1].n_notes == 28 and got[1].notes.split("\n") == [f"[2024-01-{i:02d} 10:00:00] k{i}" for i in range(1, 29)]
+    assert got[2].notes.split("\n") == ["x", "[2024-02-01 00:00:01] "]
