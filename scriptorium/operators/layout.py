@@ -14,6 +14,8 @@ from scriptorium.sources.tables import RESUMES_SQL, read, resumes
 IDEAL = ["contact", "summary", "experience", "education", "skills", "projects"]
 ON, OFF = "EXPERIENCE|EMPLOYMENT|WORK HISTORY", "EDUCATION|SKILLS|PROJECTS"
 DEGREES = ["bachelor|b[.]sc", "master|m[.]sc", "doctor|ph[.]d"]
+# Words to look for in the test data; any list can be given to occurrences().
+LOOKED = ["the", "of", "teh"]
 
 
 def joined(pairs: Column, by: str) -> Column:
@@ -174,6 +176,25 @@ def wn11_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", at.alias("at"), F.when(at > 0, F.substr(F.col("text"), F.greatest(at - 30, F.lit(1)), F.least(at + 33, at + 33) - F.greatest(at - 30, F.lit(1)))).alias("snippet"), F.regexp_count("text", F.lit("the")).cast("long").alias("n"))
 
 
+def occurrences(df: DataFrame, key: str, looked: list[str], around: int = 100) -> DataFrame:
+    """key, word, position (from 0), context: one row for each occurrence of each word, as a whole word and in its case."""
+
+    def found(word: str) -> Column:
+        n = len(word)
+        pieces = F.transform(F.split("text", rf"(?<![A-Za-z0-9_])\Q{word}\E(?![A-Za-z0-9_])", -1), F.length)
+        start = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("at"))
+        ends = F.aggregate(pieces, start, lambda a, k: F.struct((a["next"] + k + n).alias("next"), F.concat(a["at"], F.array(a["next"] + k)).alias("at")))["at"]
+        # the last piece has no word after it
+        return F.transform(F.slice(ends, 1, F.size(pieces) - 1), lambda at: F.struct(F.lit(word).alias("word"), at.alias("position"), F.regexp_replace(F.substr("text", F.greatest(at - around, F.lit(0)) + 1, at + n + around - F.greatest(at - around, F.lit(0))), r"^[ \t\n\r]+|[ \t\n\r]+\z", "").alias("context")))
+
+    return df.where("text is not null").select(key, F.explode(F.flatten(F.array(*[found(w) for w in looked]))).alias("x")).select(key, "x.*")
+
+
+def ex6_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence of each of LOOKED with its position and a hundred characters either way."""
+    return occurrences(read(spark, sf_dir, "documents"), "doc_id", LOOKED)
+
+
 def wn9_contact_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last of the first ten lines that holds contact data, and the next line in capitals."""
     hit = F.when((F.col("line_no") < 10) & F.col("line").rlike(f"{EMAIL}|{PHONE}|linkedin[.]com"), F.col("line_no"))
@@ -197,7 +218,7 @@ def ag14_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("ord").agg(F.count("hit").alias("correct"), (F.count("*") - F.count("hit")).alias("wrong")).withColumn("success", (F.col("correct") > F.col("wrong")) & (F.col("correct") > 0))
 
 
-QUERIES = {f.__name__: f for f in (ag10_lines, cp12_pages, sc14_fragments, wn14_overlap, wn3_spaced, ag17_changes, wn5_contexts, so7_reordered, jn3_replaced, mt6_slices, ex2_names, wn11_snippets, wn9_contact_end, vt3_quality, ag14_methods)}
+QUERIES = {f.__name__: f for f in (ag10_lines, cp12_pages, sc14_fragments, wn14_overlap, wn3_spaced, ag17_changes, wn5_contexts, so7_reordered, jn3_replaced, mt6_slices, ex2_names, wn11_snippets, ex6_occurrences, wn9_contact_end, vt3_quality, ag14_methods)}
 _BOXES = """b AS (SELECT l_orderkey AS page, l_linestatus AS block, l_returnflag AS line, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INTEGER) AS seq,
  l_partkey AS "left", l_partkey + l_quantity AS "right", l_quantity AS height, concat(CASE WHEN l_linenumber % 2 = 0 THEN 'W' ELSE 'w' END, l_suppkey) AS word FROM lineitem),
 a AS (SELECT page, block, line, string_agg(word, ' ' ORDER BY "left", seq) AS text, min("left") AS x0, max("right") AS x1, avg(height) * 0.75 AS size, bool_or(word = upper(word)) AS u FROM b GROUP BY ALL)"""
@@ -233,6 +254,10 @@ SELECT doc_id, string_agg(concat_ws(E'\n', title, nullif(content, '')), E'\n\n'
         "mt6_slices": """SELECT item_id, substr(upper(reverse(text)), CAST(floor((strpos(text, substr(text, 5, 20)) - 1) * length(text) / length(text)) AS INTEGER) + 1, CAST(greatest(floor(length(substr(text, 5, 20)) * length(text) / length(text)), 1) AS INTEGER)) AS part FROM benchmark""",
         "ex2_names": rf"""WITH {RESUMES_SQL} SELECT doc_id, 'Alex Example' AS name, nullif(regexp_extract(text, '{EMAIL}'), '') AS email, array_to_string(list_filter([{", ".join(f"CASE WHEN regexp_matches(lower(text), '{p}') THEN '{p[:6]}' END" for p in DEGREES)}], lambda x: x IS NOT NULL), ',') AS degrees,
  regexp_extract(text, '(?is)SKILLS\s*\n(.*?)(?:\n\n|\z)', 1) AS skills, len(regexp_extract_all(text, '(?i)experience|skills|education')) AS headers FROM resumes""",
+        "ex6_occurrences": " UNION ALL ".join(rf"""SELECT doc_id, '{w}' AS word, CAST(p AS INTEGER) AS position,
+ regexp_replace(substr(text, greatest(p - 100, 0) + 1, p + {len(w)} + 100 - greatest(p - 100, 0)), '^[ \t\n\r]+|[ \t\n\r]+\z', '', 'g') AS context
+ FROM (SELECT doc_id, text, i, len(l) AS n, CAST(sum(length(l[i])) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) + (i - 1) * {len(w)} AS p
+ FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, text, string_split_regex(text, '\b{w}\b') AS l FROM documents))) WHERE i < n""" for w in LOOKED),
         "wn11_snippets": "SELECT doc_id, CAST(strpos(text, 'the') AS INTEGER) AS at, CASE WHEN strpos(text, 'the') > 0 THEN substr(text, greatest(strpos(text, 'the') - 30, 1), strpos(text, 'the') + 33 - greatest(strpos(text, 'the') - 30, 1)) END AS snippet, len(regexp_extract_all(text, 'the')) AS n FROM documents",
         "wn9_contact_end": f"""WITH {RESUMES_SQL}, {_LINES.format("resumes")}, h AS (SELECT *, max(CASE WHEN line_no < 10 AND regexp_matches(line, '{EMAIL}|{PHONE}|linkedin[.]com') THEN line_no END) OVER (PARTITION BY doc_id) AS last_hit FROM l)
 SELECT doc_id, max(last_hit) AS last_hit, min(CASE WHEN line_no > last_hit AND regexp_matches(line, '^[A-Z]+$') THEN line_no END) AS ends FROM h GROUP BY doc_id""",

@@ -31,3 +31,15 @@ def test_all_notes_stay_with_their_times(spark):
     got = {r.app_id: r for r in noted(e.withColumn("ts", e["ts"].cast("timestamp"))).collect()}
     assert got[1].n_notes == 28 and got[1].notes.split("\n") == [f"[2024-01-{i:02d} 10:00:00] k{i}" for i in range(1, 29)]
     assert got[2].notes.split("\n") == ["x", "[2024-02-01 00:00:01] "]
+
+
+def test_every_occurrence_with_position_and_context(spark):
+    import re
+
+    from scriptorium.operators.layout import occurrences
+
+    texts = ["the other the, bathe the", "", None, "no hit", "x" * 300 + " the " + "y" * 300 + "\nthe\n\n a.b", "the", "The THE the_ a.b axb the the"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = sorted((r.doc_id, r.word, r.position, r.context) for r in occurrences(df, "doc_id", ["the", "a.b"]).collect())
+    want = [(i, w, m.start(), t[max(0, m.start() - 100) : m.end() + 100].strip()) for i, t in enumerate(texts) if t for w in ("the", "a.b") for m in re.finditer(rf"\b{re.escape(w)}\b", t)]
+    assert got == sorted(want) and len(got) == 10
