@@ -81,7 +81,18 @@ def mt4_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resumes(spark, sf_dir).select("doc_id", F.array_join(F.slice(missing, 1, 2), ",").alias("top_missing"), F.greatest(F.size(missing) - 2, F.lit(0)).alias("more"), F.when(n < 300, "short").when(n > 700, "long").otherwise("").alias("brevity"))
 
 
-QUERIES = {"ag2_keywords": ag2_keywords, "mt3_match": mt3_match, "mt3_pairs": mt3_pairs, "ag18_skills": ag18_skills, "mt4_suggestions": mt4_suggestions}
+def missing_skills(text, top: int = 5) -> list:
+    """top_missing and more: the first `top` skills that a text lacks, and how many others it lacks."""
+    own = words(text)
+    missing = F.filter(F.array(*[F.lit(s) for names in SKILLS.values() for s in names]), lambda s: ~F.array_contains(own, F.lower(s)))
+    return [F.array_join(F.slice(missing, 1, top), ",").alias("top_missing"), F.greatest(F.size(missing) - top, F.lit(0)).alias("more")]
+
+
+def so6_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resumes(spark, sf_dir).select("doc_id", *missing_skills(F.col("text")))
+
+
+QUERIES = {"ag2_keywords": ag2_keywords, "mt3_match": mt3_match, "mt3_pairs": mt3_pairs, "ag18_skills": ag18_skills, "mt4_suggestions": mt4_suggestions, "so6_missing": so6_missing}
 _STOP = ", ".join(f"'{w}'" for w in STOP)
 _KEYS = rf"""w AS (SELECT item_id, unnest(l) AS word, unnest(range(len(l))) AS pos FROM (SELECT item_id, list_filter(string_split_regex(lower(text), '[^A-Za-z0-9_]+'), lambda x: x <> '') AS l FROM benchmark)),
 c AS (SELECT item_id, word, count(*) AS n, min(pos) AS first FROM w WHERE length(word) > 2 AND word NOT IN ({_STOP}) GROUP BY ALL),
@@ -104,4 +115,6 @@ SELECT doc_id, item_id, array_to_string(present, ',') AS present, array_to_strin
     "mt4_suggestions": rf"""WITH {RESUMES_SQL}, o AS (SELECT doc_id, {_OWN} AS own, len(list_filter(string_split_regex(lower(text), '[^A-Za-z0-9_]+'), lambda x: x <> '')) AS n FROM resumes),
 m AS (SELECT doc_id, n, list_filter({_WANT}, lambda x: NOT list_contains(own, lower(x))) AS missing FROM o)
 SELECT doc_id, array_to_string(missing[1:2], ',') AS top_missing, CAST(greatest(len(missing) - 2, 0) AS INTEGER) AS more, CASE WHEN n < 300 THEN 'short' WHEN n > 700 THEN 'long' ELSE '' END AS brevity FROM m""",
+    "so6_missing": f"""WITH {RESUMES_SQL}, o AS (SELECT doc_id, {_OWN} AS own FROM resumes), m AS (SELECT doc_id, list_filter({_WANT}, lambda x: NOT list_contains(own, lower(x))) AS missing FROM o)
+SELECT doc_id, array_to_string(missing[1:5], ',') AS top_missing, CAST(greatest(len(missing) - 5, 0) AS INTEGER) AS more FROM m""",
 }

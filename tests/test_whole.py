@@ -43,3 +43,11 @@ def test_every_occurrence_with_position_and_context(spark):
     got = sorted((r.doc_id, r.word, r.position, r.context) for r in occurrences(df, "doc_id", ["the", "a.b"]).collect())
     want = [(i, w, m.start(), t[max(0, m.start() - 100) : m.end() + 100].strip()) for i, t in enumerate(texts) if t for w in ("the", "a.b") for m in re.finditer(rf"\b{re.escape(w)}\b", t)]
     assert got == sorted(want) and len(got) == 10
+
+
+def test_five_missing_skills_and_the_rest(spark):
+    from scriptorium.operators.matching import missing_skills
+
+    df = spark.createDataFrame([(1, "none of them"), (2, "Spark SQL Pandas Java Python"), (3, "")], "k int, t string")
+    got = {r.k: (r.top_missing, r.more) for r in df.select("k", *missing_skills(df["t"])).collect()}
+    assert got == {1: ("Spark,SQL,Pandas,Java,Python", 4), 2: ("Scala,Docker,Kubernetes,Linux", 0), 3: ("Spark,SQL,Pandas,Java,Python", 4)}
