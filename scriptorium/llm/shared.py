@@ -1,26 +1,38 @@
-"""Shared folder, written tables and sized broadcasts for the operators here."""
+"""Shared folder, written tables, broadcasts of measured size, and slices of batches for the operators here."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
 import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: A side of a join is broadcast up to this many bytes, by measured_bytes().
+MOST_BROADCAST = 32 << 20
+#: Texts are worked on in slices of about this many bytes (a longer text is a slice of its own).
+SLICE = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session has none (local tests) a temporary folder is made.
+    Only a local session (tests) may go without: it gets a temporary folder.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = _stash().setdefault("dir", None) or tempfile.mkdtemp(prefix="scriptorium-")
         _stash()["dir"] = found
     return found.rstrip("/")
@@ -40,9 +52,25 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sized(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    """df marked for broadcast where its counted rows stay within limit, else as it is (a shuffled join)."""
-    return F.broadcast(df) if rows <= limit else df
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 16
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.aggregate(F.transform(value, lambda x: _bytes(x, kind.elementType)), F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0)) + 24
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(8).cast("long"))
+    return F.lit(8).cast("long")
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """About the bytes of all rows of df in memory."""
+    one = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16).cast("long"))
+    return df.agg(F.sum(one).alias("n")).first().n or 0
+
+
+def sized(df: DataFrame, limit: int = MOST_BROADCAST) -> DataFrame:
+    """df (a written table) marked for broadcast where its measured bytes stay within limit, else as it is (a shuffled join)."""
+    return F.broadcast(df) if measured_bytes(df) <= limit else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,9 +90,49 @@ def kept(key: str, make):
     return stash[key]
 
 
+def forget(*keys: str) -> None:
+    """Drops what this Python process keeps under other keys than these."""
+    stash = _stash()
+    for k in [k for k in stash if ":" in k and k not in keys]:
+        del stash[k]
+
+
+def lean(run: Callable[[Iterator], Iterator], *keys: str) -> Callable[[Iterator], Iterator]:
+    """run for one task: what earlier operators keep in this worker goes first (but for keys), and free memory goes back to the system at the end."""
+
+    def task(batches: Iterator) -> Iterator:
+        forget(*keys)
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return task
+
+
+def slices(batch: pa.RecordBatch, column: int = 1, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about `most` bytes of that column's texts; memory follows bytes, not rows."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+    at = 0
+    while at < batch.num_rows:
+        before = upto[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(upto, before + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])[: len(x)]]
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of all texts end to end (nulls: none; a copy), and the borders of each text."""
-    texts = pc.fill_null(texts, "")
+    """Bytes (UTF-8) of all texts end to end (nulls: none; a copy), and the borders of each text."""
+    texts = pc.fill_null(texts, "") if texts.null_count else texts
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
     borders = np.append(0, np.cumsum(sizes))
     first = texts.offset
