@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def modules() -> list:
-    from scriptorium.operators import cards, layout, matching, repair, sections, tracking, voting
+    from scriptorium.operators import cards, chains, layout, matching, repair, sections, tracking, voting
 
-    return [repair, sections, matching, voting, tracking, cards, layout]
+    return [repair, chains, sections, matching, voting, tracking, cards, layout]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
