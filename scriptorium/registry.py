@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def modules() -> list:
-    from scriptorium.operators import cards, chains, layout, matching, repair, sections, structure, tracking, voting
+    from scriptorium.operators import advice, cards, chains, layout, matching, repair, sections, structure, tracking, voting
 
-    return [repair, chains, sections, structure, matching, voting, tracking, cards, layout]
+    return [repair, chains, sections, structure, matching, advice, voting, tracking, cards, layout]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,3 +47,20 @@ def damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LIST = "[" + ", ".join("'" + d.replace("'", "''") + "'" for d in DEFECTS) + "]"
 DAMAGED_SQL = f"damaged AS (SELECT doc_id, concat({_LIST}[doc_id % {len(DEFECTS)} + 1], E'\\n', coalesce(text, ''), E'\\n', {_LIST}[doc_id // {len(DEFECTS)} % {len(DEFECTS)} + 1]) AS text FROM documents)"
+
+#: Invented lines that ask for something, for postings.
+ASKED = [
+    "Requires Python, C++ and Node.js; 5+ years of experience. Bachelor's degree asked, MBA welcome", "We use Spark, SQL and Docker; spark jobs, SQL reports, full-time", "Machine Learning, Data Science and data science again; PhD",
+    "Leadership, teamwork, Problem Solving and time management with GitHub, CI/CD, Linux", "3 yrs experience with Java, JavaScript and React; master's degree", "Plain work with plain words and plain words", "Go, Rust, C#, Objective-C, PyTorch, macOS", "Technical Writing and Writing; SEO, UX",
+]
+
+
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, text: each whole benchmark text with a line that asks for something, chosen by item_id."""
+    lines = F.array(*[F.lit(a) for a in ASKED])
+    b = read(spark, sf_dir, "benchmark")
+    return b.select("item_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), F.get(lines, F.pmod("item_id", F.lit(len(ASKED))).cast("int"))).alias("text"))
+
+
+_ASKED = "[" + ", ".join("'" + a.replace("'", "''") + "'" for a in ASKED) + "]"
+POSTINGS_SQL = f"postings AS (SELECT item_id, concat(coalesce(text, ''), E'\\n', {_ASKED}[item_id % {len(ASKED)} + 1]) AS text FROM benchmark)"
