@@ -114,7 +114,7 @@ def pj13_bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pj15_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.concat(F.lit("**Item** *no* "), F.col("item_id"), F.lit("\n*"), F.left("text", F.lit(20)), F.lit("*"))
+    t = F.concat(F.lit("**Item** *no* "), F.col("item_id"), F.lit("\n*"), F.col("text"), F.lit("*"))
     return read(spark, sf_dir, "benchmark").select("item_id", preview(t).alias("html"))
 
 
@@ -217,7 +217,7 @@ ORACLE_SQL = {
  regexp_replace(concat_ws('/', p_name, p_type), '[^A-Za-z0-9_.\-]', '_', 'g') AS file, replace(lower(p_name), ' ', '-') AS slug, left(md5(concat_ws('|', p_name, p_brand)), 8) AS id FROM part""",
     "pj9_tailored": r"SELECT item_id, concat_ws(E'\n\n', 'TAILORED', t, CASE WHEN NOT contains(upper(t), 'SKILLS') THEN E'SKILLS\n- Python\n- SQL' END) AS text FROM (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN concat(text, E'\nSkills: none') ELSE text END AS t FROM benchmark)",
     "pj13_bullets": rf"WITH {RESUMES_SQL} SELECT doc_id, array_to_string(list_transform(string_split(text, E'\n'), lambda x: regexp_replace(trim(x), '^[-*•][ \t]*', '• ')), E'\n') AS text FROM resumes",
-    "pj15_preview": r"SELECT item_id, replace(regexp_replace(regexp_replace(concat('**Item** *no* ', item_id, E'\n*', left(text, 20), '*'), '\*\*([^\n]+?)\*\*', '<b>\1</b>', 'g'), '\*([^\n]+?)\*', '<i>\1</i>', 'g'), E'\n', '<br>') AS html FROM benchmark",
+    "pj15_preview": r"SELECT item_id, replace(regexp_replace(regexp_replace(concat('**Item** *no* ', item_id, E'\n*', text, '*'), '\*\*([^\n]+?)\*\*', '<b>\1</b>', 'g'), '\*([^\n]+?)\*', '<i>\1</i>', 'g'), E'\n', '<br>') AS html FROM benchmark",
     "pj16_stats": r"SELECT doc_id, length(text) AS chars, len(list_filter(string_split_regex(text, '[ \t\n\r\f\x0B]+'), lambda x: x <> '')) AS words, len(string_split(text, E'\n')) AS lines FROM documents",
     "pj18_fonts": "SELECT p_partkey, ['Helvetica-Bold', 'Times', 'Courier-Bold-Italic', 'Helvetica-Italic'][p_partkey % 4 + 1] AS font FROM part",
     "sc19_nested": "SELECT 'nested' AS provider, p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'Unknown Company' END AS company, CASE WHEN p_partkey % 5 > 0 THEN p_type ELSE 'Unknown Location' END AS location FROM part",

@@ -152,9 +152,15 @@ def so7_reordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jn3_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = resumes(spark, sf_dir).select("doc_id", F.explode(F.array(*[F.struct(F.lit(t).alias("title"), F.lit("old").alias("content")) for t in ("SUMMARY", "Work History", "SKILLS")])).alias("s")).select("doc_id", "s.*")
-    new = resumes(spark, sf_dir).select("doc_id", F.posexplode(F.array(*[F.struct(F.lit(t).alias("title"), F.lit(c).alias("content")) for t, c in (("Technologies", "a"), ("Employment:", "b"), ("Skills", "c"), ("Awards", "d"))])).alias("ord", "s")).select("doc_id", "ord", "s.*")
-    return replaced(old, new)
+    """Sections of every résumé, every other one and the skills replaced by a section of another name, and one more."""
+    from scriptorium.operators.sections import sections
+
+    r = resumes(spark, sf_dir)
+    old = sections(r).where("title is not null")
+    other = F.when(F.col("type") == "skills", "Technologies").when(F.col("type") == "experience", "Employment:").otherwise(F.upper("title"))
+    new = old.where("seq % 2 = 0 or type = 'skills'").select("doc_id", F.col("seq").alias("ord"), other.alias("title"), F.reverse("content").alias("content"))
+    more = r.select("doc_id", F.lit(99).alias("ord"), F.lit("Awards").alias("title"), F.md5(F.col("text").cast("binary")).alias("content"))
+    return replaced(old.select("doc_id", "title", "content"), new.unionByName(more))
 
 
 def mt6_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,12 +176,6 @@ def ex2_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resumes(spark, sf_dir).select("doc_id", name.alias("name"), F.get(F.regexp_extract_all(t, F.lit(f"({EMAIL})")), F.lit(0)).alias("email"), degrees.alias("degrees"), F.regexp_extract(t, r"(?is)SKILLS\s*\n(.*?)(?:\n\n|\z)", 1).alias("skills"), F.regexp_count(t, F.lit("(?i)experience|skills|education")).cast("long").alias("headers"))
 
 
-def wn11_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first occurrence of a word with thirty characters either way, and how often it occurs."""
-    at = F.instr("text", "the")
-    return read(spark, sf_dir, "documents").select("doc_id", at.alias("at"), F.when(at > 0, F.substr(F.col("text"), F.greatest(at - 30, F.lit(1)), F.least(at + 33, at + 33) - F.greatest(at - 30, F.lit(1)))).alias("snippet"), F.regexp_count("text", F.lit("the")).cast("long").alias("n"))
-
-
 def occurrences(df: DataFrame, key: str, looked: list[str], around: int = 100) -> DataFrame:
     """key, word, position (from 0), context: one row for each occurrence of each word, as a whole word and in its case."""
 
@@ -218,7 +218,7 @@ def ag14_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("ord").agg(F.count("hit").alias("correct"), (F.count("*") - F.count("hit")).alias("wrong")).withColumn("success", (F.col("correct") > F.col("wrong")) & (F.col("correct") > 0))
 
 
-QUERIES = {f.__name__: f for f in (ag10_lines, cp12_pages, sc14_fragments, wn14_overlap, wn3_spaced, ag17_changes, wn5_contexts, so7_reordered, jn3_replaced, mt6_slices, ex2_names, wn11_snippets, ex6_occurrences, wn9_contact_end, vt3_quality, ag14_methods)}
+QUERIES = {f.__name__: f for f in (ag10_lines, cp12_pages, sc14_fragments, wn14_overlap, wn3_spaced, ag17_changes, wn5_contexts, so7_reordered, jn3_replaced, mt6_slices, ex2_names, ex6_occurrences, wn9_contact_end, vt3_quality, ag14_methods)}
 _BOXES = """b AS (SELECT l_orderkey AS page, l_linestatus AS block, l_returnflag AS line, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INTEGER) AS seq,
  l_partkey AS "left", l_partkey + l_quantity AS "right", l_quantity AS height, concat(CASE WHEN l_linenumber % 2 = 0 THEN 'W' ELSE 'w' END, l_suppkey) AS word FROM lineitem),
 a AS (SELECT page, block, line, string_agg(word, ' ' ORDER BY "left", seq) AS text, min("left") AS x0, max("right") AS x1, avg(height) * 0.75 AS size, bool_or(word = upper(word)) AS u FROM b GROUP BY ALL)"""
@@ -226,6 +226,11 @@ _LINES = r"l AS (SELECT * FROM (SELECT doc_id, CAST(unnest(range(len(x))) AS INT
 _W = "OVER (PARTITION BY doc_id ORDER BY line_no"
 
 
+def _canon(title: str) -> str:
+    n = f"trim(regexp_replace(lower({title}), '[^a-z ]+', '', 'g'), ' ')"
+    return f"CASE WHEN regexp_matches({n}, 'experience|employment|work') THEN 'experience' WHEN regexp_matches({n}, 'skill|technolog') THEN 'skills' WHEN regexp_matches({n}, 'educat|academic') THEN 'education' WHEN regexp_matches({n}, 'summary|profile|objective') THEN 'summary' ELSE {n} END"
+
+
 def _oracles() -> dict[str, str]:
     from scriptorium.operators import sections as s
 
@@ -250,7 +255,12 @@ SELECT doc_id, round(max(mean), 6) AS mean, round(max(sigma), 6) AS sigma, CAST(
  length(line) >= 3 AND NOT regexp_matches(line, '^[a-z]') AND NOT regexp_matches(coalesce(lead(line) {_W}), ''), '^[a-z]') AND (lag(line) {_W}) IS NULL OR regexp_matches(line, '^[A-Z]+:?$')) AS heads FROM l""",
         "so7_reordered": rf"""WITH q AS ({s.ORACLE_SQL["sx27_sections"]}), r AS (SELECT *, {places} AS place, row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM q WHERE title <> '')
 SELECT doc_id, string_agg(concat_ws(E'\n', title, nullif(content, '')), E'\n\n' ORDER BY place, seq) AS text, round(sum(CASE WHEN place < 100 THEN 1 - abs(i - place + 1) / greatest(12, n) ELSE 0.0 END) / count(*), 6) AS order_score FROM r GROUP BY doc_id""",
-        "jn3_replaced": "SELECT doc_id, t.title, t.content, t.is_new FROM documents, (VALUES ('SUMMARY', 'old', false), ('Work History', 'b', true), ('SKILLS', 'a', true), ('NEW_SECTION_Awards', 'd', true)) t(title, content, is_new)",
+        "jn3_replaced": f"""WITH q AS ({s.ORACLE_SQL["sx27_sections"]}), o AS (SELECT *, {_canon('title')} AS n FROM q WHERE title <> ''),
+w AS (SELECT doc_id, seq AS ord, CASE type WHEN 'skills' THEN 'Technologies' WHEN 'experience' THEN 'Employment:' ELSE upper(title) END AS title, reverse(content) AS content FROM o WHERE seq % 2 = 0 OR type = 'skills'
+ UNION ALL SELECT doc_id, 99, 'Awards', md5(text) FROM (WITH {RESUMES_SQL} SELECT * FROM resumes)),
+f AS (SELECT doc_id, n, first(title ORDER BY ord) AS title, first(content ORDER BY ord) AS content FROM (SELECT *, {_canon('title')} AS n FROM w) GROUP BY doc_id, n)
+SELECT o.doc_id, o.title, coalesce(f.content, o.content) AS content, f.n IS NOT NULL AS is_new FROM o LEFT JOIN f ON o.doc_id = f.doc_id AND o.n = f.n
+UNION ALL SELECT doc_id, concat('NEW_SECTION_', title), content, true FROM f WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.doc_id = f.doc_id AND o.n = f.n)""",
         "mt6_slices": """SELECT item_id, substr(upper(reverse(text)), CAST(floor((strpos(text, substr(text, 5, 20)) - 1) * length(text) / length(text)) AS INTEGER) + 1, CAST(greatest(floor(length(substr(text, 5, 20)) * length(text) / length(text)), 1) AS INTEGER)) AS part FROM benchmark""",
         "ex2_names": rf"""WITH {RESUMES_SQL} SELECT doc_id, 'Alex Example' AS name, nullif(regexp_extract(text, '{EMAIL}'), '') AS email, array_to_string(list_filter([{", ".join(f"CASE WHEN regexp_matches(lower(text), '{p}') THEN '{p[:6]}' END" for p in DEGREES)}], lambda x: x IS NOT NULL), ',') AS degrees,
  regexp_extract(text, '(?is)SKILLS\s*\n(.*?)(?:\n\n|\z)', 1) AS skills, len(regexp_extract_all(text, '(?i)experience|skills|education')) AS headers FROM resumes""",
@@ -258,7 +268,6 @@ SELECT doc_id, string_agg(concat_ws(E'\n', title, nullif(content, '')), E'\n\n'
  regexp_replace(substr(text, greatest(p - 100, 0) + 1, p + {len(w)} + 100 - greatest(p - 100, 0)), '^[ \t\n\r]+|[ \t\n\r]+\z', '', 'g') AS context
  FROM (SELECT doc_id, text, i, len(l) AS n, CAST(sum(length(l[i])) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) + (i - 1) * {len(w)} AS p
  FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, text, string_split_regex(text, '\b{w}\b') AS l FROM documents))) WHERE i < n""" for w in LOOKED),
-        "wn11_snippets": "SELECT doc_id, CAST(strpos(text, 'the') AS INTEGER) AS at, CASE WHEN strpos(text, 'the') > 0 THEN substr(text, greatest(strpos(text, 'the') - 30, 1), strpos(text, 'the') + 33 - greatest(strpos(text, 'the') - 30, 1)) END AS snippet, len(regexp_extract_all(text, 'the')) AS n FROM documents",
         "wn9_contact_end": f"""WITH {RESUMES_SQL}, {_LINES.format("resumes")}, h AS (SELECT *, max(CASE WHEN line_no < 10 AND regexp_matches(line, '{EMAIL}|{PHONE}|linkedin[.]com') THEN line_no END) OVER (PARTITION BY doc_id) AS last_hit FROM l)
 SELECT doc_id, max(last_hit) AS last_hit, min(CASE WHEN line_no > last_hit AND regexp_matches(line, '^[A-Z]+$') THEN line_no END) AS ends FROM h GROUP BY doc_id""",
         "vt3_quality": rf"""WITH {CANDIDATES_SQL}, s AS (SELECT *, CAST(len(list_filter(string_split_regex(text, '[ \t\n\r\f\x0B]+'), lambda x: x <> '')) - 3 * len(regexp_extract_all(text, '[a-z][A-Z]')) + 3 * len(regexp_extract_all(text, 'EXPERIENCE|SKILLS|EDUCATION')) AS INTEGER) AS score FROM c)

@@ -10,7 +10,6 @@ from scriptorium.sources.tables import RESUMES_SQL, read, resumes
 
 STOP = ["the", "and", "for", "with", "that", "this", "are", "was", "from", "you", "your", "our", "have", "has", "will", "not", "but", "all", "can"]
 SKILLS = {"data": ["Spark", "SQL", "Pandas"], "languages": ["Java", "Python", "Scala"], "platform": ["Docker", "Kubernetes", "Linux"]}
-MANY = 1_000_000
 
 
 def keywords(df: DataFrame, key: str, top: int = 20) -> DataFrame:
@@ -21,14 +20,6 @@ def keywords(df: DataFrame, key: str, top: int = 20) -> DataFrame:
     return counts.withColumn("rank", rank).where(F.col("rank") <= top).select(key, "word", "n", "rank")
 
 
-def matched(texts: DataFrame, asked: DataFrame, doc: str = "doc_id", item: str = "item_id") -> DataFrame:
-    """doc, item, present, total, score of each pair that shares a keyword: an equi-join on words, never a cross join."""
-    totals = asked.groupBy(item).agg(F.count("*").alias("total"))
-    own = texts.select(doc, F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
-    hits = own.join(asked.select(item, "word"), "word").groupBy(doc, item).agg(F.count("*").alias("present"))
-    return hits.join(totals, item).select(doc, item, "present", "total", score(F.col("present"), F.col("total")).alias("score"))
-
-
 def asked_keywords(df: DataFrame, key: str) -> DataFrame:
     """key, keyword, word (in lower case), rank: skills that the text names, then words of the top 20 that occur more than once."""
     skills = [s for names in SKILLS.values() for s in names]
@@ -57,13 +48,6 @@ def ag2_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keywords(read(spark, sf_dir, "benchmark"), "item_id").where("n > 1")
 
 
-def mt3_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = keywords(read(spark, sf_dir, "benchmark"), "item_id", 10)
-    best = Window.partitionBy("item_id").orderBy(F.col("score").desc(), "doc_id")
-    scored = matched(read(spark, sf_dir, "documents"), asked)
-    return scored.withColumn("rank", F.row_number().over(best)).where("rank <= 5")
-
-
 def mt3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against every item that it shares a keyword with, by all keywords."""
     return pairs(read(spark, sf_dir, "documents"), asked_keywords(read(spark, sf_dir, "benchmark"), "item_id"))
@@ -73,14 +57,6 @@ def ag18_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resumes(spark, sf_dir).select("doc_id", *skill_columns(F.col("text")))
 
 
-def mt4_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Missing skills (the first two, and how many more), and brevity."""
-    want = F.array(*[F.lit(s) for names in SKILLS.values() for s in names])
-    missing = F.filter(want, lambda s: ~F.array_contains(words(F.col("text")), F.lower(s)))
-    n = F.size(words(F.col("text")))
-    return resumes(spark, sf_dir).select("doc_id", F.array_join(F.slice(missing, 1, 2), ",").alias("top_missing"), F.greatest(F.size(missing) - 2, F.lit(0)).alias("more"), F.when(n < 300, "short").when(n > 700, "long").otherwise("").alias("brevity"))
-
-
 def missing_skills(text, top: int = 5) -> list:
     """top_missing and more: the first `top` skills that a text lacks, and how many others it lacks."""
     own = words(text)
@@ -92,7 +68,7 @@ def so6_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resumes(spark, sf_dir).select("doc_id", *missing_skills(F.col("text")))
 
 
-QUERIES = {"ag2_keywords": ag2_keywords, "mt3_match": mt3_match, "mt3_pairs": mt3_pairs, "ag18_skills": ag18_skills, "mt4_suggestions": mt4_suggestions, "so6_missing": so6_missing}
+QUERIES = {"ag2_keywords": ag2_keywords, "mt3_pairs": mt3_pairs, "ag18_skills": ag18_skills, "so6_missing": so6_missing}
 _STOP = ", ".join(f"'{w}'" for w in STOP)
 _KEYS = rf"""w AS (SELECT item_id, unnest(l) AS word, unnest(range(len(l))) AS pos FROM (SELECT item_id, list_filter(string_split_regex(lower(text), '[^A-Za-z0-9_]+'), lambda x: x <> '') AS l FROM benchmark)),
 c AS (SELECT item_id, word, count(*) AS n, min(pos) AS first FROM w WHERE length(word) > 2 AND word NOT IN ({_STOP}) GROUP BY ALL),
@@ -101,10 +77,6 @@ _OWN = r"list_distinct(list_filter(string_split_regex(lower(text), '[^A-Za-z0-9_
 _WANT = "[" + ", ".join(f"'{s}'" for n in SKILLS.values() for s in n) + "]"
 ORACLE_SQL = {
     "ag2_keywords": f"WITH {_KEYS} SELECT * FROM k WHERE rank <= 20 AND n > 1",
-    "mt3_match": f"""WITH {_KEYS}, a AS (SELECT * FROM k WHERE rank <= 10), t AS (SELECT item_id, count(*) AS total FROM a GROUP BY item_id),
-o AS (SELECT doc_id, unnest({_OWN}) AS word FROM documents), h AS (SELECT doc_id, item_id, count(*) AS present FROM o JOIN a USING (word) GROUP BY ALL),
-s AS (SELECT doc_id, item_id, present, total, CAST(round_even(100.0 * present / total, 0) AS INTEGER) AS score FROM h JOIN t USING (item_id)),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= 5""",
     "mt3_pairs": f"""WITH {_KEYS}, v AS (SELECT unnest({_WANT}) AS keyword, unnest(range(len({_WANT}))) AS rank),
 a AS (SELECT DISTINCT item_id, keyword, word, rank FROM w JOIN v ON lower(keyword) = word UNION ALL SELECT item_id, word, word, rank + 100 FROM k WHERE rank <= 20 AND n > 1 AND word NOT IN (SELECT lower(keyword) FROM v)),
 l AS (SELECT item_id, list(keyword ORDER BY rank) AS every FROM a GROUP BY item_id), o AS (SELECT doc_id, unnest({_OWN}) AS word FROM documents),
@@ -112,9 +84,6 @@ h AS (SELECT doc_id, item_id, list(keyword ORDER BY rank) AS present FROM o JOIN
 SELECT doc_id, item_id, array_to_string(present, ',') AS present, array_to_string(list_filter(every, lambda x: NOT list_contains(present, x)), ',') AS missing,
  CAST(round_even(100.0 * len(present) / len(every), 0) AS INTEGER) AS score FROM h JOIN l USING (item_id)""",
     "ag18_skills": f"WITH {RESUMES_SQL}, o AS (SELECT doc_id, {_OWN} AS own FROM resumes) SELECT doc_id, " + ", ".join(f"array_to_string(list_sort(list_filter([{', '.join(f"'{s}'" for s in names)}], lambda x: list_contains(own, lower(x)))), ',') AS {kind}" for kind, names in SKILLS.items()) + " FROM o",
-    "mt4_suggestions": rf"""WITH {RESUMES_SQL}, o AS (SELECT doc_id, {_OWN} AS own, len(list_filter(string_split_regex(lower(text), '[^A-Za-z0-9_]+'), lambda x: x <> '')) AS n FROM resumes),
-m AS (SELECT doc_id, n, list_filter({_WANT}, lambda x: NOT list_contains(own, lower(x))) AS missing FROM o)
-SELECT doc_id, array_to_string(missing[1:2], ',') AS top_missing, CAST(greatest(len(missing) - 2, 0) AS INTEGER) AS more, CASE WHEN n < 300 THEN 'short' WHEN n > 700 THEN 'long' ELSE '' END AS brevity FROM m""",
     "so6_missing": f"""WITH {RESUMES_SQL}, o AS (SELECT doc_id, {_OWN} AS own FROM resumes), m AS (SELECT doc_id, list_filter({_WANT}, lambda x: NOT list_contains(own, lower(x))) AS missing FROM o)
 SELECT doc_id, array_to_string(missing[1:5], ',') AS top_missing, CAST(greatest(len(missing) - 5, 0) AS INTEGER) AS more FROM m""",
 }

@@ -10,7 +10,6 @@ from scriptorium.sources.tables import read
 
 # States of an application in order of priority, and the event that leads to each in the test data.
 STATES = {"signup": "preparing", "view": "applied", "click": "interview_scheduled", "purchase": "offered", "error": "rejected"}
-PRIORITY = {s: i for i, s in enumerate(["interview_scheduled", "applied", "preparing", "offered", "rejected"])}
 # The order of a whole listing; any other state comes last (99).
 LISTED = {s: i for i, s in enumerate(["offered", "interview_scheduled", "applied", "preparing", "rejected", "withdrawn"])}
 FLAT = "struct<results:array<struct<title:string,company:string,city:string,location:string,snippet:string>>>"
@@ -63,7 +62,7 @@ def tr3_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ag6_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folded(events(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("n"), F.min("applied_date").alias("first_applied"))
+    return folded(events(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("n"), F.min("applied_date").alias("first_applied"), F.array_join(F.transform(F.array_sort(F.collect_list("app_id")), lambda x: x.cast("string")), ",").alias("applications"))
 
 
 def listing(applications: DataFrame, status: str | None = None, today: str | None = None) -> DataFrame:
@@ -80,13 +79,6 @@ def so2_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing(folded(events(spark, sf_dir)), today="9999-12-31")
 
 
-def so2_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applications by priority of their status, then date, then id: the first 100."""
-    prio = F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv])
-    f = folded(events(spark, sf_dir)).withColumn("priority", F.coalesce(F.element_at(prio, F.col("status")), F.lit(99)))
-    return f.select("app_id", "status", "priority", F.coalesce("applied_date", F.lit("9999-12-31")).alias("date")).orderBy("priority", "date", "app_id").limit(100)
-
-
 def sc20_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "part").select(
         F.concat(F.lit("p"), F.col("p_partkey") % 3).alias("provider"),
@@ -119,17 +111,15 @@ def sk7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n").cast("binary")).alias("md5"))
 
 
-QUERIES = {"tr5_states": tr5_states, "tr3_notes": tr3_notes, "ag6_by_status": ag6_by_status, "so2_listing": so2_listing, "so2_applications": so2_applications, "sc20_payloads": sc20_payloads, "se1_federated": se1_federated, "wn7_spans": wn7_spans, "sk7_chat": sk7_chat}
+QUERIES = {"tr5_states": tr5_states, "tr3_notes": tr3_notes, "ag6_by_status": ag6_by_status, "so2_applications": so2_applications, "sc20_payloads": sc20_payloads, "se1_federated": se1_federated, "wn7_spans": wn7_spans, "sk7_chat": sk7_chat}
 _STATUS = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STATES.items()) + " END"
 _FOLD = f"""f AS (SELECT user_id AS app_id, arg_max(status, (ts, event_id)) AS status, strftime(min(CASE WHEN status = 'applied' THEN ts END), '%Y-%m-%d') AS applied_date, count(*) AS n_events,
  array_to_string(list(event_type ORDER BY ts, event_id)[1:3], ';') AS first_events FROM (SELECT *, {_STATUS} AS status FROM events) GROUP BY user_id)"""
-_PRIO = "CASE status " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in PRIORITY.items()) + " ELSE 99 END"
 _LISTED = "CASE status " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in LISTED.items()) + " ELSE 99 END"
 ORACLE_SQL = {
     "tr5_states": f"WITH {_FOLD} SELECT * FROM f",
     "tr3_notes": r"SELECT user_id AS app_id, count(*) AS n_notes, string_agg(concat('[', strftime(ts, '%Y-%m-%d %H:%M:%S'), '] ', event_type), E'\n' ORDER BY ts, event_id) AS notes FROM events GROUP BY user_id",
-    "ag6_by_status": f"WITH {_FOLD} SELECT status, count(*) AS n, min(applied_date) AS first_applied FROM f GROUP BY status",
-    "so2_listing": f"WITH {_FOLD} SELECT app_id, status, CAST({_PRIO} AS INTEGER) AS priority, coalesce(applied_date, '9999-12-31') AS date FROM f ORDER BY priority, date, app_id LIMIT 100",
+    "ag6_by_status": f"WITH {_FOLD} SELECT status, count(*) AS n, min(applied_date) AS first_applied, string_agg(CAST(app_id AS VARCHAR), ',' ORDER BY app_id) AS applications FROM f GROUP BY status",
     "so2_applications": f"WITH {_FOLD} SELECT app_id, status, CAST({_LISTED} AS INTEGER) AS priority, coalesce(applied_date, '9999-12-31') AS date FROM f ORDER BY priority, date, app_id",
     "sc20_payloads": "SELECT concat('p', p_partkey % 3) AS provider, p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'Unknown Company' END AS company, p_type AS location, CASE WHEN length(concat(p_name, ' ', p_type)) > 20 THEN concat(left(concat(p_name, ' ', p_type), 17), '...') ELSE concat(p_name, ' ', p_type) END AS snippet FROM part",
     "se1_federated": """WITH u AS (SELECT s_name AS title, s_nationkey AS place, s_acctbal AS pay, NULL AS segment, CAST(0 AS INTEGER) AS src_ord FROM supplier UNION ALL SELECT c_name, c_nationkey, c_acctbal, c_mktsegment, 1 FROM customer),
