@@ -12,16 +12,20 @@
    (document, start).  What is left is compared with the payload word by word
    (exact phrases), or up to a slack (proximity).
 
-Counts and windows are broadcast only where their counted rows are below
-MOST_BROADCAST; beyond that the same joins are shuffled.  Texts are never
-shuffled; postings are hashed by document and start, so frequent words and
-passages spread.
+Test terms and windows are broadcast only where their measured bytes are below
+MOST_BROADCAST.  Beyond that single words (document, position, word) are shuffled
+to the terms, and the hits of a document meet its text once; a text is never
+repeated for its words.  Postings are hashed by document and start, so frequent
+words and passages spread.
 
 Nulls: a null text has no words, hence no hits; a null item text has no windows;
 null ids are compared null-safely.  Rows that share doc_id and text are one
 document's repeats and each gets its result; rows that share only doc_id are
-judged apart.  Items without words have no windows.  Empty tables: no documents
-give no rows, no items give clean documents.  Only doc_id, text, item_id are read.
+judged apart.  Items without words have no windows; a window of several items
+counts for each.  Ties among a window's rarest words go to the earlier one.  A
+very long text is one row's array of words while it is indexed.  Empty tables: no
+documents give no rows, no items give clean documents.  Only doc_id, text and
+item_id are read, so extra columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -29,10 +33,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.shared import sized, table, written
+from scriptorium.llm.shared import MOST_BROADCAST, measured_bytes, sized, table, written
 
 WINDOW = 10
-MOST_BROADCAST = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -57,14 +60,18 @@ def windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def _tokens(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, w: the words from position 1 on, after an empty one that every document has."""
     return docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_key"), F.concat(F.array(F.lit("")), words(F.col("text"))).alias("w"))
 
 
-def corpus_counts(docs: DataFrame, wins: DataFrame) -> DataFrame:
+def corpus_counts(docs: DataFrame, wins: DataFrame, limit: int = MOST_BROADCAST) -> DataFrame:
     """term, n: occurrences in all documents of every word of the windows."""
     terms = written(wins.select(F.explode("words").alias("term")).distinct(), "test-terms")
-    every = _tokens(docs).select(F.explode("w").alias("term"))
-    return every.join(sized(terms, terms.count(), MOST_BROADCAST), "term").groupBy("term").agg(F.count("*").alias("n"))
+    # outer: else a filter on the words' number is inferred, for which they'd be split twice
+    every = _tokens(docs).select(F.explode_outer("w").alias("term"))
+    if measured_bytes(terms) <= limit:
+        return every.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
+    return every.groupBy("term").agg(F.count("*").alias("n")).join(terms, "term")
 
 
 def with_heads(wins: DataFrame, counts: DataFrame) -> DataFrame:
@@ -74,22 +81,29 @@ def with_heads(wins: DataFrame, counts: DataFrame) -> DataFrame:
     return wins.join(ranked.where("least > 0"), "phrase").select("phrase", "words", "items", F.size("words").alias("n"), F.slice("by", 1, 2).alias("heads"))
 
 
-def index(docs: DataFrame, terms: DataFrame, n_terms: int, around: int) -> DataFrame:
-    """The written index: term, doc_id, text_key, pos (from 1), payload, first (position of the payload's first word).
+def index(docs: DataFrame, terms: DataFrame, around: int, limit: int = MOST_BROADCAST) -> DataFrame:
+    """The written index: term, doc_id, text_key, pos (from 1), length, payload, first (position of the payload's first word).
 
-    The empty term's posting in each document has pos 0 and the document's length.
+    The empty term's posting in each document has pos 0 and the document's length; no other has a length.
     """
-    every = _tokens(docs).select("doc_id", "text_key", "w", F.posexplode("w").alias("pos", "term"))
-    hit = every.join(sized(terms, n_terms, MOST_BROADCAST), "term")
+    tokens = _tokens(docs)
     first = F.greatest(F.lit(1), F.col("pos") - around)
     payload = F.when(F.col("term") != "", F.slice("w", first + 1, F.lit(2 * around + 1)))
-    return written(
-        hit.select("term", "doc_id", "text_key", "pos", F.when(F.col("term") == "", F.size("w") - 1).alias("length"), payload.alias("payload"), first.alias("first")),
-        "postings",
-    )
-
-
-def matches(postings: DataFrame, wins: DataFrame, n_wins: int, slack: int = 0) -> DataFrame:
+    length = F.when(F.col("term") == "", F.size("w") - 1)
+    columns = ["term", "doc_id", "text_key", "pos", length.alias("length"), payload.alias("payload"), first.alias("first")]
+    if measured_bytes(terms) <= limit:
+        with_empty = terms.unionByName(docs.sparkSession.sql("select '' term")).distinct()
+        hit = tokens.select("doc_id", "text_key", "w", F.posexplode_outer("w").alias("pos", "term")).join(F.broadcast(with_empty), "term")
+        return written(hit.select(*columns), "postings")
+    each = tokens.select("doc_id", "text_key", F.posexplode_outer("w").alias("pos", "term")).where("term <> ''").join(terms, "term")
+    of_doc = each.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("t")).agg(F.collect_set(F.struct("pos", "term")).alias("hits"))
+    lengths = tokens.select(F.lit("").alias("term"), "doc_id", "text_key", F.lit(0).alias("pos"), "w")
+    met = tokens.join(of_doc, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_key").eqNullSafe(F.col("t")))
+    hit = met.select("doc_id", "text_key", "w", F.explode("hits").alias("x")).select("x.term", "doc_id", "text_key", "x.pos", "w")
+    return written(hit.unionByName(lengths).select(*columns), "postings")
+
+
+def matches(postings: DataFrame, wins: DataFrame, slack: int = 0) -> DataFrame:
     """doc_id, text_key, start, n, phrase, items of each occurrence of a window.
 
     slack 0: exact phrases, found by intersecting both heads' shifted lists.
@@ -98,14 +112,14 @@ def matches(postings: DataFrame, wins: DataFrame, n_wins: int, slack: int = 0) -
     earliest possible word); needs postings with a payload of n + s words around.
     """
     lists = wins.select("phrase", "words", "items", "n", F.size("heads").alias("lists"), F.posexplode("heads").alias("no", "head"))
-    lists = lists.select("phrase", "words", "items", "n", "lists", "no", F.col("head.off").alias("off"), F.col("head.term").alias("term"))
+    lists = written(lists.select("phrase", "words", "items", "n", "lists", "no", F.col("head.off").alias("off"), F.col("head.term").alias("term")), "lists")
     if slack:
-        near = postings.join(sized(lists.where("no = 0"), n_wins, MOST_BROADCAST), "term")
+        near = postings.join(sized(lists.where("no = 0")), "term")
         low = F.greatest(F.col("pos") - F.col("n") - slack + 1, F.col("first"))
         stretch = lambda s: F.slice("payload", s - F.col("first") + 1, F.col("n") + slack)
         found = F.filter(F.sequence(low, F.col("pos")), lambda s: F.size(F.array_except("words", stretch(s))) == 0)
         return near.withColumn("found", found).where(F.size("found") > 0).select("doc_id", "text_key", F.array_min("found").alias("start"), "n", "phrase", "items")
-    shifted = postings.join(sized(lists, 2 * n_wins, MOST_BROADCAST), "term").withColumn("start", F.col("pos") - F.col("off"))
+    shifted = postings.join(sized(lists), "term").withColumn("start", F.col("pos") - F.col("off"))
     seen = F.slice("payload", F.col("start") - F.col("first") + 1, F.col("n"))
     agrees = (F.col("no") > 0) | ((F.col("start") >= F.col("first")) & (seen == F.col("words")))
     both = (
@@ -121,10 +135,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     """doc_id, text_key, n_words, n_hit, items array<string>, spans array<struct<start, n>> of every document."""
     wins = written(windows(items, window), "windows")
     wins = written(with_heads(wins, corpus_counts(docs, wins)), "heads")
-    n_wins = wins.count()
-    terms = wins.select(F.explode("heads.term").alias("term")).unionByName(docs.sparkSession.sql("select '' term")).distinct()
-    postings = index(docs, terms, 2 * n_wins + 1, window)
-    found = matches(postings, wins, n_wins)
+    terms = written(wins.select(F.explode("heads.term").alias("term")).distinct(), "head-terms")
+    postings = index(docs, terms, window)
+    found = matches(postings, wins)
     by_doc = found.groupBy("doc_id", "text_key").agg(
         F.array_sort(F.collect_set(F.struct(F.col("start").alias("start"), F.col("n").alias("n")))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
@@ -154,10 +167,9 @@ def proximity(docs: DataFrame, items: DataFrame, slack: int, window: int = WINDO
     """doc_id, start, phrase, items where all words of a window lie within window + slack words, in any order."""
     wins = written(windows(items, window), "windows")
     wins = written(with_heads(wins, corpus_counts(docs, wins)), "heads")
-    n_wins = wins.count()
-    terms = wins.select(F.explode("heads.term").alias("term")).distinct()
-    postings = index(docs, terms, 2 * n_wins, window + slack)
-    return matches(postings, wins, n_wins, slack).select("doc_id", "start", "phrase", "items")
+    terms = written(wins.select(F.explode("heads.term").alias("term")).distinct(), "head-terms")
+    postings = index(docs, terms, window + slack)
+    return matches(postings, wins, slack).select("doc_id", "start", "phrase", "items")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
