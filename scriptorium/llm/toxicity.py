@@ -1,7 +1,7 @@
 """Toxicity by a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the presence of hashed character n-grams (NGRAMS bytes of the
-UTF-8 text with A-Z lowered).  From labelled texts come smoothed counts p and q
+Features are the presence of hashed character n-grams (NGRAMS characters of the
+text with A-Z lowered).  From labelled texts come smoothed counts p and q
 of documents with each n-gram, toxic and clean; r = log((p/|p|) / (q/|q|)).
 The FEATURES n-grams whose ratio is surest (|r| against its standard error)
 are kept, scaled by r, and a logistic regression is fitted on them.
@@ -14,7 +14,11 @@ Nulls: a null text scores like an empty one (the intercept); null labels and
 labels of unknown documents are ignored; a document with several labels counts
 as toxic if any says so; a null doc_id is scored and isn't held out.  Without
 any usable labels of both kinds the score is the smoothed share of toxic labels.
-Repeated rows are scored alike.  Empty tables give no rows.
+Repeated rows are scored alike; ties among features go to the smaller bucket, and
+rows of one doc_id with several texts are all learnt from.  Very long texts are
+hashed in pieces of PIECE characters that overlap by the longest n-gram, so memory
+follows the piece.  Empty tables give no rows.  Of documents only doc_id and text
+are read, of labels doc_id and toxic, so extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -29,13 +33,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.shared import table, text_bytes, written
+from scriptorium.llm.shared import distinct, lean, slices, table, text_bytes, written
 
 NGRAMS = (3, 5, 6, 7)
 BITS = 20
 FIT_ROWS = 8000
 FEATURES = 6000
 CUT = 0.7
+PIECE = 500_000
 
 
 @dataclass
@@ -48,28 +53,48 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("long").cast("string").cast("binary")) % 3
 
 
-def hashed(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each length of n-grams: the bucket of each byte position, and which positions count; with the texts' ends."""
-    raw, borders = text_bytes(texts)
-    raw[(raw >= 65) & (raw <= 90)] += 32
-    raw, ends = raw.astype(np.uint64), borders[1:]
-    left = np.repeat(ends, np.diff(borders)) - np.arange(len(raw))  # bytes from here to the end of the text
+def hashed(raw: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length of n-grams: the bucket of each character's n-gram, and which of them lie inside one text.
+
+    raw: the characters (code points) of texts end to end; ends: of each text.
+    """
+    left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(raw))  # characters from here to the end of the text
+    raw = raw.astype(np.uint64)
     h = np.zeros(len(raw), np.uint64)
     for n in range(1, max(NGRAMS) + 1):
-        h[: len(raw) - n + 1] = h[: len(raw) - n + 1] * np.uint64(0x100000001B3) + raw[n - 1 :] + np.uint64(1)
+        fit = max(0, len(raw) - n + 1)
+        h[:fit] = h[:fit] * np.uint64(0x100000001B3) + raw[n - 1 :] + np.uint64(1)
         if n in NGRAMS:
             x = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            yield (x >> np.uint64(64 - BITS)).astype(np.int64), left >= n, ends
+            yield (x >> np.uint64(64 - BITS)).astype(np.int64), left >= n
+
+
+def characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts end to end, A-Z lowered, and the end of each text."""
+    raw, borders = text_bytes(texts)
+    first = (raw & 0xC0) != 0x80  # the first byte of each character
+    if first.all():
+        points = raw.astype(np.uint32)
+    else:
+        points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32).copy()
+    points[(points >= 65) & (points <= 90)] += 32
+    return points, np.append(0, np.cumsum(first))[borders[1:]]
 
 
 def present(texts: pa.Array, wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """(row, bucket) once for each n-gram that a text holds, those with wanted[bucket] only."""
-    found = []
-    for bucket, whole, ends in hashed(texts):
-        at = np.flatnonzero(whole & (wanted[bucket] if wanted is not None else True))
-        rows = np.searchsorted(ends, at, side="right")
-        found.append(np.unique(rows * (1 << BITS) + bucket[at]))
-    both = np.unique(np.concatenate(found))
+    points, ends = characters(texts)
+    found, low, over = [np.zeros(0, np.int64)], 0, max(NGRAMS) - 1
+    while low < len(points):  # pieces that overlap by the longest n-gram: memory follows the piece
+        high = min(len(points), low + PIECE + over)
+        a, b = np.searchsorted(ends, [low, high], side="right")
+        own = np.minimum(ends[a : b + 1], high) - low
+        for bucket, whole in hashed(points[low:high], own):
+            at = np.flatnonzero(whole & (wanted[bucket] if wanted is not None else True))
+            rows = a + np.searchsorted(own, at, side="right")
+            found.append(rows * (1 << BITS) + bucket[at])
+        low = high - over if high < len(points) else high
+    both = distinct(np.concatenate(found))
     return both >> BITS, both & ((1 << BITS) - 1)
 
 
@@ -86,8 +111,7 @@ def fit(chosen: DataFrame, features: int = FEATURES) -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 << BITS), np.int64)
         for big in batches:
-            for at in range(0, big.num_rows, 200):
-                b = big.slice(at, 200)
+            for b in slices(big, 1, PIECE):
                 toxic = b.column(2).to_numpy(zero_copy_only=False) > 0
                 rows, bucket = present(b.column(1), None)
                 for k in (0, 1):
@@ -95,8 +119,7 @@ def fit(chosen: DataFrame, features: int = FEATURES) -> Model:
         used = np.flatnonzero(total.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[1][used]), pa.array(total[0][used])], ["bucket", "p", "q"])
 
-    few = chosen.coalesce(8)
-    counts = few.mapInArrow(count, "bucket long, p long, q long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    counts = chosen.mapInArrow(lean(count), "bucket long, p long, q long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     n = {r.toxic > 0: r.n for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = n.get(True, 0), n.get(False, 0)
     share = (n_toxic + 1) / (n_toxic + n_clean + 2)
@@ -114,13 +137,12 @@ def fit(chosen: DataFrame, features: int = FEATURES) -> Model:
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for at in range(0, big.num_rows, 200):
-                b = big.slice(at, 200)
+            for b in slices(big, 1, PIECE):
                 rows, bucket = present(b.column(1), wanted)
                 cuts = np.searchsorted(rows, np.arange(b.num_rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(2), pa.ListArray.from_arrays(pa.array(cuts), pa.array(bucket.astype(np.int32)))], ["toxic", "buckets"])
 
-    got = few.select("doc_id", "text", "toxic").mapInArrow(extract, "toxic int, buckets array<int>").toArrow()  # FIT_ROWS rows at most
+    got = chosen.select("doc_id", "text", "toxic").mapInArrow(lean(extract), "toxic int, buckets array<int>").toArrow()  # FIT_ROWS rows at most
     y = (got.column("toxic").to_numpy() > 0).astype(np.float64)
     lists = got.column("buckets").combine_chunks()
     col = lists.flatten().to_numpy(zero_copy_only=False)
@@ -160,13 +182,15 @@ def score_of(spark: SparkSession, text: Column, model: Model) -> Column:
         wanted = table != 0
         for texts in batches:
             out = [np.zeros(0)]
-            for at in range(0, len(texts), 200):
-                some = pa.Array.from_pandas(texts.iloc[at : at + 200], type=pa.string())
-                rows, bucket = present(some, wanted)
-                out.append(intercept + np.bincount(rows, table[bucket].astype(np.float64), len(some)))
+            for b in slices(pa.RecordBatch.from_arrays([pa.Array.from_pandas(texts, type=pa.string())], ["text"]), 0, PIECE):
+                rows, bucket = present(b.column(0), wanted)
+                out.append(intercept + np.bincount(rows, table[bucket].astype(np.float64), b.num_rows))
             yield pd.Series(1 / (1 + np.exp(-np.clip(np.concatenate(out), -30, 30))))
 
-    return F.pandas_udf(scored, "double", F.PandasUDFType.SCALAR_ITER)(text.cast("string"))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return lean(scored)(batches)
+
+    return F.pandas_udf(run, "double")(text.cast("string"))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
