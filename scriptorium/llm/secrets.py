@@ -4,18 +4,22 @@ A candidate is a run of MIN_LENGTH or more characters of [A-Za-z0-9+/_-] (with
 closing "="), or, whatever its length and characters, the quoted or unquoted
 value after a KEYISH word and = or : on the same line, and after "Bearer".  An
 unquoted value ends at white space or a quote, without closing , ; . and brackets.
+A block of the kind -----BEGIN ... KEY----- up to its end is one candidate, and
+nothing inside it is another.
 Features: length; shares of digits, capitals and signs; entropy; character
 transitions (changes of class, and doubled characters); share of the letters
 covered by dictionary words; known prefixes; hints in the path (here the source)
 and in the words next to it; whether it is quoted, assigned to a key, of several
-words, or a placeholder or expression.  Short values without a key before them
+words, a placeholder or expression, or a block that says it is private.  Short values without a key before them
 are no candidates.  Secrets that overlap are reported as one.  The forest is
 trained on labelled findings: a list of (text, start, end, path, is_secret).
 labelled_findings() makes a seeded set of invented ones; any other can be given.
 
 Nulls: a null text has no candidates; a null source is an empty path.  Repeated
-rows get the same result.  Empty tables give no rows.  Only doc_id, text and
-source are read (a table without source has empty paths); redact() keeps all
+rows get the same result.  Ties: a score of CUT counts as a secret.  Texts are
+scanned whole, in slices of bytes; a very long one is a slice of its own.  Empty
+tables give no rows.  Only doc_id, text and source are read (a table without
+source has empty paths), so extra columns don't matter; redact() keeps all
 columns.  The trained forest is some hundred kB, whatever the corpus.
 """
 
@@ -23,6 +27,7 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.shared import kept, table
+from scriptorium.llm.shared import kept, lean, slices, table
 
 MIN_LENGTH = 16
 AROUND = 60
@@ -40,7 +45,10 @@ CUT = 0.5
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{%d,}={0,2}" % MIN_LENGTH)
 #: Words next to a candidate that speak for a secret, and those that speak against one.
 KEYISH = re.compile(r"(?i)token|secret|passw|passwd|pwd|api[_ -]?key|apikey|auth|bearer|credential|private|access[_ -]?key|session")
-HARMLESS = re.compile(r"(?i)sha-?\d|md5|commit|checksum|digest|hash|etag|uuid|guid|revision|build|version|example|sample|dummy|placeholder|test|image|src=|href|url|http|isbn|order|invoice|call|phone")
+HARMLESS = re.compile(r"(?i)(?<![a-z])(?:sha-?\d|md5|commit|checksum|digest|hash|etag|uuid|guid|revision|build|version|example|sample|dummy|placeholder|test|image|src=|href|url|http|isbn|order|invoice|call|phone)")
+#: A block in armour: a key, or something public.
+BLOCK = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----(?:[\sA-Za-z0-9+/=:,.\-]*?-----END \1-----|[\sA-Za-z0-9+/=]*[A-Za-z0-9+/=])")
+PRIVATE = re.compile(r"^-----BEGIN [A-Z0-9 ]*PRIVATE KEY")
 #: A key up to its sign, the sign, and the value after it (quoted or not).
 KEYED = re.compile(r"(?i)(?:%s)[\w.\-\[\]]*[\"'\])]*[ \t]*$" % KEYISH.pattern[4:])
 STRONG = re.compile(r"(?i)(?:passw|pwd|secret|token|api[_ -]?key|access[_ -]?key|credential|private[_ -]?key|bearer)[\w.\-\[\]]*[\"'\])]*[ \t]*(?:[:=][:=>]*[ \t]*)?(?:(?:bearer|basic|token)[ \t]+)?[\"'`]?$")
@@ -71,7 +79,7 @@ start state static status step stop storage store stream string style sub sum su
 tab table tag target task team temp template test text theme thread ticket time title token tool top total trace track
 transfer tree trigger true type unit update upload url user util valid value vector vendor version video view visible
 visit volume wait wall warning watch web week weight width window word work world write year your zone""".split()
-NAMES = ("length", "digits", "capitals", "signs", "entropy", "transitions", "doubled", "coverage", "hex", "prefix", "keyish", "harmless", "assigned", "harmless_path", "distinct", "quoted", "strong", "blanks", "placeholder")
+NAMES = ("length", "digits", "capitals", "signs", "entropy", "transitions", "doubled", "coverage", "hex", "prefix", "keyish", "harmless", "assigned", "harmless_path", "distinct", "quoted", "strong", "blanks", "placeholder", "private", "block")
 
 
 def coverage(text: str, words: frozenset, longest: int) -> float:
@@ -107,11 +115,13 @@ def features(text: str, start: int, end: int, path: str, words: frozenset = froz
         float(bool(KEYISH.search(near))), float(bool(HARMLESS.search(near + " " + " ".join(after.split()[:2])))), float(bool(ASSIGNED.search(before))),
         float(bool(HARMLESS_PATH.search(path))), len(share) / n,
         float(before[-1:] in ("'", '"', "`") and after[:1] == before[-1:]), float(bool(STRONG.search(before))), float(len(own.split()) - 1), float(bool(PLACEHOLDER.search(own))),
+        float(bool(PRIVATE.match(own))), float(own.startswith("-----BEGIN ")),
     ]
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
     """Spans of runs and of values assigned to keys, in order; they may overlap."""
+    blocks = [m.span() for m in BLOCK.finditer(text)]
     found = {m.span() for m in CANDIDATE.finditer(text)}
     for sign in SIGN.finditer(text):
         at = sign.start()
@@ -122,6 +132,10 @@ def candidates(text: str) -> list[tuple[int, int]]:
             if value.lastindex == 4:
                 b = a + len(value[4].rstrip(",;.)]}>'") or value[4])
             found.add((a, b))
+    if blocks:
+        starts = [a for a, _ in blocks]
+        within = lambda x: (i := bisect_right(starts, x[1] - 1) - 1) >= 0 and x[0] < blocks[i][1]
+        found = {x for x in found if not within(x)} | set(blocks)
     return sorted(found)
 
 
@@ -135,6 +149,10 @@ def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, int, int,
     letters, signs = alnum[:52], "@!$%.:#&*?-_+~^"
     assigned = ["password = ", "password: ", "passwd=", "pwd: ", "DB_PASSWORD=", "\"password\": ", "secret: ", "client_secret=", "api_key = ", "token: ", "TOKEN=", "Authorization: Bearer "]
 
+    def block(kind: str) -> str:
+        lines = "\n".join(chars(alnum + "+/", 64) for _ in range(int(rng.integers(2, 7))))
+        return f"-----BEGIN {kind}-----\n{lines}\n-----END {kind}-----"
+
     def short() -> str:
         """Passwords and the like: short, without digits, or with signs."""
         size = int(rng.integers(6, 16))
@@ -172,9 +190,10 @@ def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, int, int,
                 lambda: chars(hexes, pick([32, 40, 40, 48, 64])), lambda: "AKIA" + chars(alnum[:26] + "0123456789", 16), lambda: "ghp_" + chars(alnum, 36),
                 lambda: "sk_live_" + chars(alnum, 24), lambda: chars(alnum + "+/", 40), lambda: "AIza" + chars(alnum + "-_", 35), lambda: "xoxb-" + chars("0123456789", 11) + "-" + chars(alnum, 24),
                 lambda: "eyJ" + base64.urlsafe_b64encode(prose(8).encode()).decode().strip("="), lambda: chars(alnum + "_-", int(rng.integers(18, 44))), *[short] * 6,
+                *[lambda: block(pick(["RSA PRIVATE KEY", "PRIVATE KEY", "OPENSSH PRIVATE KEY", "EC PRIVATE KEY", "PGP PRIVATE KEY BLOCK"]))] * 3,
             ])()
             # a short value, or one with signs or blanks, is a secret by its key only
-            lead = pick(assigned if not CANDIDATE.fullmatch(value) or not any(c.isdigit() for c in value) else ["token = ", "token: ", "api_key = ", "API_KEY=", "secret: ", "password = ", "Authorization: Bearer ", "access_key = ", "client_secret=", "auth ", "TOKEN = ", "apikey "])
+            lead = pick(["", "", "see ", "cert: ", "key: ", "private_key = "] if value.startswith("-----") else assigned if not CANDIDATE.fullmatch(value) or not any(c.isdigit() for c in value) else ["token = ", "token: ", "api_key = ", "API_KEY=", "secret: ", "password = ", "Authorization: Bearer ", "access_key = ", "client_secret=", "auth ", "TOKEN = ", "apikey "])
             path = pick(["", "", "src/main.py", "config/settings.yml", "src7", "web", ".env", "tests/data"])
         else:
             value, lead = pick([
@@ -185,11 +204,11 @@ def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, int, int,
                 lambda: (chars("0123456789", int(rng.integers(16, 22))), pick(["", "order ", "card ", "invoice ", prose(1) + " "])), lambda: ("_".join(pick(WORDS) for _ in range(4)) + "_" + str(int(rng.integers(99))), pick(["", "token = ", "set ", "key: "])),
                 lambda: (pick(["x", "0", "1", "a1"]) * 20 + "0", pick(["token = ", "key: ", "password = "])), lambda: ("your_api_key_here_" + str(int(rng.integers(99))), pick(["token = ", "api_key="])),
                 lambda: (base64.b64encode(prose(12).encode()).decode().strip("=") + "1", pick(["image ", "src=data:image/png;base64,", "url("])),
-                *[harmless, digit_free] * 4,
+                *[harmless, digit_free] * 4, *[lambda: (block(pick(["CERTIFICATE", "PUBLIC KEY", "RSA PUBLIC KEY", "PGP SIGNATURE"])), pick(["", "cert: ", "see "]))] * 3,
             ])()
             path = pick(["", "", "README.md", "docs/guide", "tests/data", "src3", "package-lock", "web"])
-        quote = pick(['"', '"', "'", ""]) if secret else pick(['"', "'", "", ""])
-        if " " in value and not quote:
+        quote = "" if value.startswith("-----") else pick(['"', '"', "'", ""]) if secret else pick(['"', "'", "", ""])
+        if " " in value and not quote and not value.startswith("-----"):
             quote = '"'
         head = prose(int(rng.integers(0, 7))) + " " + lead + quote
         # every finding stays, whether or not candidates() sees it: what it misses counts as missed
@@ -298,28 +317,35 @@ def scan(docs: DataFrame, forest: Forest) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("secret", pa.string())]))
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            found = judged(texts, b.column(2).to_pylist(), shared.value)
-            rows = [[{"start": a, "end": e, "score": s, "secret": t[a:e]} for a, e, s in own] for t, own in zip(texts, found, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, kind)], ["doc_id", "findings"])
+        for big in batches:
+            for b in slices(big):
+                texts = b.column(1).to_pylist()
+                found = judged(texts, b.column(2).to_pylist(), shared.value)
+                rows = [[{"start": a, "end": e, "score": s, "secret": t[a:e]} for a, e, s in own] for t, own in zip(texts, found, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, kind)], ["doc_id", "findings"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _path(docs)).mapInArrow(run, "doc_id long, findings array<struct<start int, end int, score double, secret string>>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _path(docs)).mapInArrow(lean(run), "doc_id long, findings array<struct<start int, end int, score double, secret string>>")
 
 
 def redact(docs: DataFrame, forest: Forest, mark: str = "[REDACTED]") -> DataFrame:
     """docs with each secret in text replaced; all columns are kept, as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(forest)
 
-    def run(texts: pd.Series, paths: pd.Series) -> pd.Series:
-        texts, paths = texts.tolist(), paths.tolist()
-        out = []
-        for t, own in zip(texts, judged(texts, paths, shared.value), strict=True):
-            for a, b, s in reversed(own):
-                if s >= CUT:
-                    t = t[:a] + mark + t[b:]
-            out.append(t)
-        return pd.Series(out, dtype=object)
+    def redacted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, paths in batches:
+            both = pa.RecordBatch.from_arrays([pa.Array.from_pandas(x, type=pa.string()) for x in (texts, paths)], ["text", "path"])
+            out = []
+            for b in slices(both, 0):
+                some = b.column(0).to_pylist()
+                for t, own in zip(some, judged(some, b.column(1).to_pylist(), shared.value), strict=True):
+                    for a, e, s in reversed(own):
+                        if s >= CUT:
+                            t = t[:a] + mark + t[e:]
+                    out.append(t)
+            yield pd.Series(out, dtype=object)
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        return lean(redacted)(batches)
 
     return docs.withColumn("text", F.pandas_udf(run, "string")(F.col("text").cast("string"), _path(docs)))
 
