@@ -24,7 +24,7 @@ def wrapped(text, width=72, sign="", end="\n"):
 
 
 def test_wrapped_licences(spark):
-    ruled = licences.SENTENCES["mit.notice"].replace(" ", " " + "-" * 200 + " ")
+    ruled = "Released under the MIT License".replace(" ", " " + "-" * 200 + " ")
     gpl = ". ".join(licences.SENTENCES[f"gpl.{k}"] for k in ("redistribute", "hope", "details")) + "."
     texts = [
         wrapped(MIT), wrapped(APACHE), wrapped(APACHE, 60, "# "), wrapped(MIT, 50, " * "), wrapped(MIT, 78, "", "\r\n"), wrapped(gpl, 70, "// "), ruled, MIT,
