@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def modules() -> list:
-    from scriptorium.operators import advice, cards, chains, layout, matching, records, repair, sections, structure, tracking, voting
+    from scriptorium.operators import advice, cards, chains, layout, matching, pages, records, repair, sections, structure, tracking, voting
 
-    return [repair, chains, sections, structure, matching, advice, voting, tracking, cards, records, layout]
+    return [repair, chains, sections, structure, matching, advice, voting, tracking, cards, records, layout, pages]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
