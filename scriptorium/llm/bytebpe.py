@@ -11,8 +11,10 @@ once; a bounded memo keeps cuts in each Python worker.  Texts with runs of
 spaces are matched as a whole.  Decoding maps ids back to bytes.
 
 Nulls: a null text encodes to no ids, like an empty one; null ids decode to no
-bytes.  Repeated rows are kept.  Empty tables give empty results.  Only doc_id
-and text (doc_id and ids) are read, so extra columns don't matter.
+bytes.  Repeated rows are kept, and there are no ties: each row is its own.  A
+very long text is a slice of its own, about ten times its bytes in memory.  Empty
+tables give empty results.  Only doc_id and text (doc_id and ids) are read, so
+extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -28,8 +30,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.shared import kept, table
-from scriptorium.llm.tokenids import Memo, slices
+from scriptorium.llm.shared import gathered, kept, lean, table
+from scriptorium.llm.tokenids import Memo
+
+
+SLICE_IDS = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -78,6 +83,8 @@ def serialised_model(ranks: dict[bytes, int]) -> bytes:
 class Coder(Memo):
     """Ids of cuts of texts, with the memo of tokenids."""
 
+    most = 200_000
+
     def __init__(self, ranks_file: str, pattern: str):
         super().__init__()
         import regex
@@ -130,11 +137,10 @@ class Coder(Memo):
 def _encoding(ranks_file: str, pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = kept(f"bytebpe:{ranks_file}:{pattern}", lambda: Coder(ranks_file, pattern))
-        for big in batches:
-            for b in slices(big):
-                flat, counts = coder.ids_of_texts(b.column(1))
-                ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([b.column(0), ids], ["doc_id", "ids"])
+        for b in gathered(batches):
+            flat, counts = coder.ids_of_texts(b.column(1))
+            ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([b.column(0), ids], ["doc_id", "ids"])
 
     return run
 
@@ -151,8 +157,10 @@ def _decoding(ranks_file: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, starts, size = kept(f"bytes:{ranks_file}", tables)
         for big in batches:
-            for at in range(0, big.num_rows, 300):
-                b = big.slice(at, 300)
+            upto, at = np.cumsum(pc.fill_null(pc.list_value_length(big.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1), 0
+            while at < big.num_rows:  # about SLICE_IDS ids at once; a longer list is alone
+                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE_IDS, side="right")))
+                b, at = big.slice(at, end - at), end
                 lists = b.column(1)
                 flat = lists.flatten().to_numpy(zero_copy_only=False)
                 counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
@@ -173,18 +181,19 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def encode(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
     """doc_id, ids array<int> of each whole text, without special tokens."""
-    return _texts(docs).mapInArrow(_encoding(ranks_file, pattern), "doc_id long, ids array<int>")
+    return _texts(docs).mapInArrow(lean(_encoding(ranks_file, pattern), f"bytebpe:{ranks_file}:{pattern}"), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks_file: str) -> DataFrame:
     """doc_id, ids, decoded binary: the bytes that the ids stand for."""
-    return encoded.select("doc_id", "ids").mapInArrow(_decoding(ranks_file), "doc_id long, ids array<int>, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(_decoding(ranks_file), f"bytes:{ranks_file}"), "doc_id long, ids array<int>, decoded binary")
 
 
 def round_trip(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
     """decode(encode(docs)) in one pass of one Python worker a task."""
     into, back = _encoding(ranks_file, pattern), _decoding(ranks_file)
-    return _texts(docs).mapInArrow(lambda batches: back(into(batches)), "doc_id long, ids array<int>, decoded binary")
+    both = lean(lambda batches: back(into(batches)), f"bytebpe:{ranks_file}:{pattern}", f"bytes:{ranks_file}")
+    return _texts(docs).mapInArrow(both, "doc_id long, ids array<int>, decoded binary")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,9 @@ from pyspark.sql import types as T
 MOST_BROADCAST = 32 << 20
 #: Texts are worked on in slices of about this many bytes (a longer text is a slice of its own).
 SLICE = 2_000_000
+#: Rows of a batch between Spark and Python, where the session keeps Spark's own 10,000: texts are long rows.
+BATCH_ROWS = 1000
+ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,12 +41,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of BATCH_ROWS rows from now on, unless the session says otherwise."""
+    if spark.conf.get(ROWS_KEY) == "10000":
+        spark.conf.set(ROWS_KEY, BATCH_ROWS)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends here.
 
     The table survives lost executors; it is deleted when the application ends.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     jvm = spark.sparkContext._jvm
@@ -74,6 +84,7 @@ def sized(df: DataFrame, limit: int = MOST_BROADCAST) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -90,25 +101,33 @@ def kept(key: str, make):
     return stash[key]
 
 
-def forget(*keys: str) -> None:
-    """Drops what this Python process keeps under other keys than these."""
+def forget(*keys: str) -> int:
+    """Drops what this Python process keeps for its tasks under other keys than these; how much that was."""
     stash = _stash()
-    for k in [k for k in stash if ":" in k and k not in keys]:
+    gone = [k for k in stash if ":" in k and k not in keys]
+    for k in gone:
         del stash[k]
+    return len(gone)
+
+
+def give_back() -> None:
+    """Free memory of this Python process goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def lean(run: Callable[[Iterator], Iterator], *keys: str) -> Callable[[Iterator], Iterator]:
-    """run for one task: what earlier operators keep in this worker goes first (but for keys), and free memory goes back to the system at the end."""
+    """run for one task: what earlier operators keep in this worker goes first (but for keys), and free memory is given back at the end."""
 
     def task(batches: Iterator) -> Iterator:
-        forget(*keys)
+        if forget(*keys):
+            give_back()
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-                libc.malloc_trim(0)
+            give_back()
 
     return task
 
@@ -124,6 +143,23 @@ def slices(batch: pa.RecordBatch, column: int = 1, most: int = SLICE) -> Iterato
         at = end
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches anew, each of about `most` bytes of that column's texts, whatever sizes they came in."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for big in batches:
+        for b in slices(big, column, most):
+            n = pc.sum(pc.binary_length(b.column(column))).as_py() or 0
+            if held and size + n > most:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+            if b.num_rows:
+                held.append(b)
+                size += n
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def distinct(x: np.ndarray) -> np.ndarray:
     """Sorted distinct values."""
     x = np.sort(x)

@@ -3,7 +3,8 @@
 Encoding splits each text at ASCII white space (the tokenizer never joins
 across it) and, where the tokenizer's file allows it, between a letter and a
 mark, encodes every distinct piece of a batch once with the tokenizers
-library and keeps a bounded memo of pieces in each Python worker.
+library and keeps a bounded memo of pieces in each Python worker.  A text that
+holds an added token of the tokenizer, in whatever case, is encoded whole.
 
 File format.  A codebook row (block -1) holds the code length of every id: the
 optimal prefix code with at most MAX_BITS bits (package-merge) for the global
@@ -15,14 +16,19 @@ its own checkpoints; all streams of a block are decoded in step by one table of
 2**MAX_BITS entries.
 
 Nulls: a null text encodes like an empty one (only the end id).  A null doc_id
-sorts first.  Repeated rows are kept, each with its own stream.  An empty table
-gives an empty file.  Only doc_id and text are read.
+sorts first.  Repeated rows are kept, each with its own stream.  Ties: rows that
+share doc_id are in the order of their texts' hashes, and of their texts where
+those are equal too, so starts follow the file's order.  A very long text is a
+slice of its own while it is encoded (about ten times its bytes) and lies in one
+block; its ids decode in step from its checkpoints.  An empty table gives an
+empty file.  Only doc_id and text are read, so extra columns don't matter.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import repeat
@@ -33,14 +39,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.shared import kept, table, written
+from scriptorium.llm.shared import gathered, kept, lean, slices, table, text_bytes, written
 
 MAX_BITS = 16
 CHUNK = 256
 BLOCK_IDS = 1 << 18
-MEMO = 250_000
+MEMO = 1_000_000
 LONGEST = 64
-SLICE = 2_000_000
+SLICE = 8_000_000
 END_ID = 2
 #: How a tokenizer's file says that A-Z are lowered, and that letters part from what follows (fixed values).
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
@@ -54,10 +60,12 @@ MARK = "\x01"
 class Memo:
     """Ids of pieces: one flat store of ids and the place of each piece in it.
 
-    After more than MEMO pieces or 16 * MEMO ids it starts afresh.  Pieces longer
-    than LONGEST stay in the store until then, but aren't looked up.
+    After more than `most` pieces or 16 times as many ids it starts afresh.  Pieces
+    longer than LONGEST stay in the store until then, but aren't looked up.
     """
 
+    most = MEMO
+
     def __init__(self):
         self._clear()
 
@@ -71,7 +79,7 @@ class Memo:
 
     def ids(self, pieces: list[str], picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces[picks] end to end, and the count of each; the pieces are distinct."""
-        if len(self.at) > MEMO or len(self.store) > 16 * MEMO:
+        if len(self.at) > self.most or len(self.store) > 16 * self.most:
             self._clear()
         at = np.fromiter(map(self.at.get, pieces, repeat(-1)), np.int64, len(pieces))
         missing = np.flatnonzero(at < 0)
@@ -98,7 +106,6 @@ class PieceMemo(Memo):
         from tokenizers import Tokenizer
 
         self.coder = Tokenizer.from_file(vocab_file)
-        self.coder.encode_special_tokens = True
         self.size = self.coder.get_vocab_size()
         mark = self.coder.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
@@ -106,6 +113,7 @@ class PieceMemo(Memo):
             said = json.load(f)
         normalizers = [x["type"] for x in (said.get("normalizer") or {}).get("normalizers", [])]
         splits = [x.get("pattern", {}).get("Regex") for x in (said.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.added = "|".join(re.escape(x["content"]) for x in said.get("added_tokens") or [])
         self.fine = normalizers == NORMALIZERS and splits[:1] == [SPLIT]
 
     def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -125,20 +133,19 @@ class PieceMemo(Memo):
         return np.concatenate(flats), np.concatenate(counts)
 
 
-def slices(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about SLICE bytes of that column's texts."""
-    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < batch.num_rows:
-        before = upto[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(upto, before + SLICE, side="right")))
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def ids_of_texts(memo: PieceMemo, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts end to end, and the count of each text."""
     texts = pc.fill_null(texts, "")
+    if memo.added:
+        odd = pc.match_substring_regex(texts, memo.added, ignore_case=True)
+        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if len(whole):
+            flat, counts = ids_of_texts(memo, pc.if_else(odd, "", texts))
+            own = [np.array(memo.coder.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, np.int32) for i in whole]
+            ends = np.append(0, np.cumsum(counts))
+            parts = np.split(flat, ends[whole])
+            counts[whole] = [len(x) for x in own]
+            return np.concatenate([parts[0], *(y for x in zip(own, parts[1:], strict=True) for y in x)]), counts
     if memo.fine:  # fewer distinct pieces, the same ids
         texts = pc.replace_substring_regex(pc.ascii_lower(texts), BORDER, r"\1 \2")
     lists = pc.ascii_split_whitespace(texts)
@@ -154,16 +161,15 @@ def encode(docs: DataFrame, vocab_file: str, end_id: int | None = END_ID) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = kept(f"pieces:{vocab_file}", lambda: PieceMemo(vocab_file))
-        for big in batches:
-            for b in slices(big):
-                flat, counts = ids_of_texts(memo, b.column(1))
-                if end_id is not None:
-                    flat = np.insert(flat, np.cumsum(counts), np.int32(end_id))
-                    counts = counts + 1
-                ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([b.column(0), ids], ["doc_id", "ids"])
+        for b in gathered(batches, 1, SLICE):
+            flat, counts = ids_of_texts(memo, b.column(1))
+            if end_id is not None:
+                flat = np.insert(flat, np.cumsum(counts), np.int32(end_id))
+                counts = counts + 1
+            ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([b.column(0), ids], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run, f"pieces:{vocab_file}"), "doc_id long, ids array<int>")
 
 
 # --- canonical length-limited Huffman codes ---
@@ -256,21 +262,27 @@ def unpack(stream: bytes, starts: np.ndarray, counts: np.ndarray, symbol: np.nda
     return out
 
 
+def crcs(ids: np.ndarray, ends: np.ndarray) -> list[int]:
+    """The crc32 of each document's ids as little-endian unsigned 32-bit integers."""
+    raw = memoryview(ids.astype("<u4").tobytes())
+    return [zlib.crc32(raw[4 * a : 4 * e]) for a, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
 def global_counts(tokens: DataFrame, ids: str = "ids") -> DataFrame:
     """id, n over all documents; each task sums into one vector of the vocabulary before the exchange."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 10, np.int64)
-        for b in batches:
-            for raw in b.column(0).to_pylist():
-                n = np.bincount(np.frombuffer(raw, "<u2"))
+        for big in batches:
+            for b in slices(big, 0):
+                n = np.bincount(text_bytes(b.column(0))[0].view("<u2"))
                 if len(n) > len(total):
                     total = np.append(total, np.zeros(len(n) - len(total), np.int64))
                 total[: len(n)] += n
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
-    return tokens.select(ids).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.select(ids).mapInArrow(lean(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 BLOCK = "block long, doc_ids array<long>, counts array<long>, checkpoints array<long>, stream binary"
@@ -287,15 +299,15 @@ def write_file(docs: DataFrame, vocab_file: str, end_id: int = END_ID) -> tuple[
         memo = kept(f"pieces:{vocab_file}", lambda: PieceMemo(vocab_file))
         if memo.size > 1 << 16:
             raise ValueError("ids of more than 16 bits")
-        for big in batches:
-            for b in slices(big):
-                flat, counts = ids_of_texts(memo, b.column(1))
-                flat = np.insert(flat, np.cumsum(counts), np.int32(end_id)).astype("<u2")
-                ends = np.append(0, np.cumsum(counts + 1)) * 2
-                raw = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
-                yield pa.RecordBatch.from_arrays([b.column(0), raw], ["doc_id", "ids"])
-
-    tokens = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary"), "token-ids")
+        for b in gathered(batches, 1, SLICE):
+            flat, counts = ids_of_texts(memo, b.column(1))
+            flat = np.insert(flat, np.cumsum(counts), np.int32(end_id)).astype("<u2")
+            ends = np.append(0, np.cumsum(counts + 1)) * 2
+            raw = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+            yield pa.RecordBatch.from_arrays([b.column(0), raw, pa.array(crcs(flat, ends // 2), pa.int64())], ["doc_id", "ids", "crc"])
+
+    tokens = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run, f"pieces:{vocab_file}"), "doc_id long, ids binary, crc long")
+    tokens = written(tokens, "token-ids")
     found = global_counts(tokens).collect()  # a row an id: the vocabulary's size at most
     counts = np.zeros(max([0, *(r.id for r in found)]) + 1, np.int64)
     for r in found:
@@ -324,8 +336,9 @@ def write_file(docs: DataFrame, vocab_file: str, end_id: int = END_ID) -> tuple[
             yield block(rows, no)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = tokens.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    made = ordered.mapInArrow(blocks, BLOCK)
+    key = [F.col("doc_id").asc_nulls_first(), "crc"]  # rows of one doc_id, or of none, spread too
+    ordered = tokens.repartitionByRange(parts, *key).sortWithinPartitions(*key, F.octet_length("ids"), "ids").select("doc_id", "ids")
+    made = ordered.mapInArrow(lean(blocks), BLOCK)
     book = spark.createDataFrame([(-1, None, [int(x) for x in lengths], None, None)], BLOCK)
     return written(made.unionByName(book), "token-file"), lengths
 
@@ -345,14 +358,12 @@ def read_file(blocks: DataFrame, ids: bool = True) -> DataFrame:
                 size[last[n > 0]] = (n - (pieces - 1) * CHUNK)[n > 0]
                 flat = unpack(r["stream"], np.array(r["checkpoints"], np.int64), size, symbol, length)
                 ends = np.append(0, np.cumsum(n))
-                raw = memoryview(flat.astype("<u4").tobytes())
-                crc = [zlib.crc32(raw[4 * a : 4 * e]) for a, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                cols = [pa.array(r["doc_ids"], pa.int64()), pa.array(n), pa.array(crc, pa.int64())]
+                cols = [pa.array(r["doc_ids"], pa.int64()), pa.array(n), pa.array(crcs(flat, ends), pa.int64())]
                 if ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat)))
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_crc32", "ids"][: len(cols)])
 
-    return blocks.where("block >= 0").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids)
+    return blocks.where("block >= 0").mapInArrow(lean(run), "doc_id long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids)
 
 
 def starts(read: DataFrame) -> DataFrame:
@@ -361,13 +372,13 @@ def starts(read: DataFrame) -> DataFrame:
 
     spark = read.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = F.col("doc_id").asc_nulls_first()
+    key = [F.col("doc_id").asc_nulls_first(), "ids_crc32", "n_tokens"]  # the file's order
     read = written(read, "token-read")  # a range exchange samples its input: nothing is decoded twice
-    placed = written(read.repartitionByRange(parts, key).withColumn("part", F.spark_partition_id()), "token-counts")
+    placed = written(read.repartitionByRange(parts, *key).withColumn("part", F.spark_partition_id()), "token-counts")
     totals = placed.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row a partition
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("part").orderBy(*key).rowsBetween(Window.unboundedPreceding, 0)
     sums = placed.withColumn("upto", F.sum("n_tokens").over(inside))
     return sums.join(F.broadcast(offsets), "part").withColumn("start", F.col("before") + F.col("upto") - F.col("n_tokens")).drop("part", "before", "upto")
 
