@@ -32,7 +32,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -331,23 +330,24 @@ def redact(docs: DataFrame, forest: Forest, mark: str = "[REDACTED]") -> DataFra
     """docs with each secret in text replaced; all columns are kept, as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(forest)
 
-    def redacted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, paths in batches:
-            both = pa.RecordBatch.from_arrays([pa.Array.from_pandas(x, type=pa.string()) for x in (texts, paths)], ["text", "path"])
-            out = []
-            for b in slices(both, 0):
-                some = b.column(0).to_pylist()
-                for t, own in zip(some, judged(some, b.column(1).to_pylist(), shared.value), strict=True):
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    names = docs.columns
+    at, path = names.index("text"), names.index("source") if "source" in names else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for b in slices(big, at):
+                texts = b.column(at).to_pylist()
+                paths = b.column(path).cast(pa.string()).to_pylist() if path is not None else [""] * len(texts)
+                for k, own in enumerate(judged(texts, paths, shared.value)):
                     for a, e, s in reversed(own):
                         if s >= CUT:
-                            t = t[:a] + mark + t[e:]
-                    out.append(t)
-            yield pd.Series(out, dtype=object)
-
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        return lean(redacted)(batches)
+                            texts[k] = texts[k][:a] + mark + texts[k][e:]
+                columns = b.columns
+                columns[at] = pa.array(texts, columns[at].type)
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.withColumn("text", F.pandas_udf(run, "string")(F.col("text").cast("string"), _path(docs)))
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def default_forest() -> Forest:
