@@ -8,9 +8,16 @@
     byte_bpe         texts become token ids, and the ids are decoded again
 
 Each stage reads all that its predecessor kept, as Parquet; all but the last
-return the columns of documents.  Repeated rows (equal doc_id and text) end in
-one row at near_dedup; rows without doc_id or words pass it.  Columns beyond
-doc_id, text, source and n_chars pass through untouched.
+return the columns of documents.
+
+Nulls: a null text is never toxic, near another or contaminated beyond what an
+empty one is, and stays null up to the last stage, where it has no ids; rows
+without doc_id or words pass near_dedup.  Repeated rows (equal doc_id and text)
+end in one row there; of rows that share doc_id and class the one with the least
+hash of its text stays, and rows that share only doc_id are judged apart.  Ties:
+the smallest doc_id of a group stays.  Very long texts are bounded as the
+operators say.  Empty tables give no rows.  Columns beyond doc_id, text, source
+and n_chars pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,32 +29,42 @@ from pyspark.sql import functions as F
 from scriptorium.llm import bytebpe, decontaminate, minhash, secrets, toxicity
 from scriptorium.llm.shared import sized, table, written
 
-MOST_BROADCAST = 500_000
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     return docs.where(toxicity.score_of(spark, docs["text"], model) < toxicity.CUT)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """row (all columns of docs), d and t: doc_id and the hash of the text.  No column's name can clash."""
+    return docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t"))
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows of keyed() but those in gone (doc_id, text_key; a written table)."""
+    gone = gone.select(F.col("doc_id").alias("gd"), F.col("text_key").alias("gt"))
+    return rows.join(sized(gone), F.col("d").eqNullSafe(F.col("gd")) & (F.col("t") == F.col("gt")), "left_anti")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = written(minhash.classes(docs, 5, 80, 100), "pipeline-classes")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    # repeated rows meet on (doc_id, text); without any, this is an exchange of keys only
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    again = keyed.groupBy("doc_id", "_text_key").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null")
-    kept = docs.join(sized(gone, gone.count(), MOST_BROADCAST), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
-    if again.limit(1).count():
-        named = kept.withColumn("_text_key", F.xxhash64("text"))
-        kept = named.where("doc_id is not null").dropDuplicates(["doc_id", "_text_key"]).unionByName(named.where("doc_id is null")).drop("_text_key")
-    return kept
+    found = written(minhash.classes(docs, 5, 80, 100).where("n_shingles > 0 and doc_id is not null"), "pipeline-classes")
+    own = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("text_key").alias("least"), F.max("text_key").alias("most"))
+    other = found.where("doc_id = component_id").join(own.where("least < most"), "doc_id").where("text_key > least")
+    gone = found.where("doc_id <> component_id").select("doc_id", "text_key").unionByName(other.select("doc_id", "text_key")).distinct()
+    kept = without(keyed(docs), written(gone, "pipeline-copies"))
+    # repeated rows meet on their keys; without any, this is an exchange of keys only
+    again = kept.where("d is not null").groupBy("d", "t").agg(F.count("*").alias("n")).where("n > 1")
+    again = written(again.select(F.col("d").alias("doc_id"), F.col("t").alias("text_key")), "pipeline-repeated")
+    if not again.limit(1).count():
+        return kept.select("row.*")
+    ones = kept.join(again, (F.col("d") == F.col("doc_id")) & (F.col("t") == F.col("text_key")), "left_semi").dropDuplicates(["d", "t"])
+    return without(kept, again).unionByName(ones).select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0")
-    gone = written(found.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t")), "pipeline-hits")
-    same = docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_t"))
-    return docs.join(sized(gone, gone.count(), MOST_BROADCAST), same, "left_anti")
+    gone = written(found.select(F.col("doc_id").cast("long").alias("doc_id"), "text_key").distinct(), "pipeline-hits")
+    return without(keyed(docs), gone).select("row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
