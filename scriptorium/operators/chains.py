@@ -157,6 +157,7 @@ BLANKS = RuleSet().add("blanks", "blanks", r"[ \t]+", " ")
 HEAL = RuleSet()
 for _h in HEADERS:
     HEAL.add(f"heal_{_h}", "heal", rf"(^|\n){_h}\s*\n\s*([a-z0-9])", f"$1{_h.lower()}$2")
+_SKILL = r"(^|[^A-Za-z0-9_])SKILLS([^A-Za-z0-9_]|\z)"
 EMBEDDED = [h for h in HEADERS if len(h) >= 5]
 
 
@@ -225,39 +226,56 @@ def corrected_text(text: Column) -> Column:
     return PATTERNS.apply(WORDS.apply(text))
 
 
-def duplicate_skills(text: Column) -> Column:
-    """Lines with SKILLS after the first such line become bullets."""
-    lines = F.split(text, "\n")
-    first = F.array_min(F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(r"(^|[^A-Za-z0-9_])SKILLS([^A-Za-z0-9_]|\z)"), i)), lambda i: i.isNotNull()))
-    return F.array_join(F.transform(lines, lambda x, i: F.when((i > first) & x.rlike(r"(^|[^A-Za-z0-9_])SKILLS([^A-Za-z0-9_]|\z)"), F.lit("• SKILLS:")).otherwise(x)), "\n")
+def _lines(df: DataFrame, text: str) -> DataFrame:
+    """df with _l, the lines of text, and _z: each line (x) with the one before (p) and after (q), '' where there is none.
+
+    Lines are columns of their own and neighbours are zipped on, so that nothing is
+    evaluated for each line over the whole text.
+    """
+    df = df.withColumn("_l", F.split(text, "\n"))
+    n = F.size("_l")
+    before = F.concat(F.array(F.lit("")), F.slice("_l", F.lit(1), n - 1))
+    after = F.concat(F.slice("_l", F.lit(2), n), F.array(F.lit("")))
+    near = F.zip_with(before, after, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    return df.withColumn("_z", F.zip_with("_l", near, lambda x, y: F.struct(x.alias("x"), y["p"].alias("p"), y["q"].alias("q"))))
 
 
-def final_text(text: Column) -> Column:
-    """Library by categories (headers, dates, locations, contact), corrections, room around headers, no RESUME, one SKILLS, tidy lines."""
-    text = corrected_text(LIBRARY.apply(text, ["headers", "dates", "locations", "contact"]))
-    return TIDY.apply(duplicate_skills(RESUME.apply(HEADER_ROOM.apply(text))))
+def duplicate_skills(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with text changed: lines with SKILLS after the first such line become bullets."""
+    df = df.withColumn("_n", F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x"), x.rlike(_SKILL).alias("hit"))))
+    df = df.withColumn("_first", F.array_min(F.transform(F.filter("_n", lambda n: n["hit"]), lambda n: n["i"])))
+    paired = F.zip_with("_n", F.array_repeat("_first", F.size("_n")), lambda n, f: F.when(n["hit"] & (n["i"] > f), F.lit("• SKILLS:")).otherwise(n["x"]))
+    return df.withColumn(text, F.array_join(paired, "\n")).drop("_n", "_first")
 
 
-def standardised(text: Column) -> Column:
-    """Synonyms of headers become the standard one, blank lines go, and one follows each header."""
+def final_text(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with text changed by the library by categories (headers, dates, locations, contact), corrections, room around headers, no RESUME, one SKILLS, tidy lines."""
+    done = corrected_text(LIBRARY.apply(F.col(text), ["headers", "dates", "locations", "contact"]))
+    df = duplicate_skills(df.withColumn(text, RESUME.apply(HEADER_ROOM.apply(done))), text)
+    return df.withColumn(text, TIDY.apply(F.col(text)))
+
+
+def standardised(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with text changed: synonyms of headers become the standard one, blank lines go, and one follows each header but a last one."""
     every = [n for names in STANDARD_HEADERS.values() for n in names]
-    lines = F.filter(F.transform(F.split(SYNONYMS.apply(text), "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    spaced = F.transform(lines, lambda x, i: F.when(F.upper(x).isin(every) & (i < F.size(lines) - 1), F.concat(x, F.lit("\n"))).otherwise(x))
-    return F.array_join(spaced, "\n")
+    df = df.withColumn("_l", F.filter(F.transform(F.split(SYNONYMS.apply(F.col(text)), "\n"), lambda x: F.trim(x)), lambda x: x != ""))
+    after = F.concat(F.slice("_l", F.lit(2), F.size("_l")), F.array(F.lit(None).cast("string")))
+    spaced = F.zip_with("_l", after, lambda x, q: F.when(F.upper(x).isin(every) & q.isNotNull(), F.concat(x, F.lit("\n"))).otherwise(x))
+    # zip_with ends the shorter side with nulls: nothing of nothing
+    return df.withColumn(text, F.array_join(F.filter(spaced, lambda x: x.isNotNull()), "\n")).drop("_l")
 
 
 _ROOMY = "|".join(["EDUCATION", "ACADEMIC", "EXPERIENCE", "EMPLOYMENT", r"WORK\s+HISTORY", "SKILLS", "EXPERTISE", "SUMMARY", "PROFILE", "OBJECTIVE", "PROJECTS", "CERTIFICATIONS", "CERTIFICATES", "CREDENTIALS", "AWARDS", "HONORS", "ACHIEVEMENTS", "PUBLICATIONS", "RESEARCH", "PAPERS", "VOLUNTEER", r"COMMUNITY\s+SERVICE", "LANGUAGES", r"LANGUAGE\s+PROFICIENCY", "INTERESTS", "HOBBIES", "ACTIVITIES", "REFERENCES", "RECOMMENDATIONS"])
 _ROOMY = rf"(?i)(?:^|[^A-Za-z0-9_])(?:{_ROOMY})(?:[^A-Za-z0-9_]|\z)"
 
 
-def roomy_headers(text: Column) -> Column:
-    """A blank line before and after each line that holds a header's word, unless there is one."""
-    lines = F.split(text, "\n")
-    at = lambda i: F.coalesce(F.get(lines, i), F.lit(""))
+def roomy_headers(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with text changed: a blank line before and after each line that holds a header's word, unless there is one."""
     # a blank line that the header before has brought counts
-    before = lambda i: F.when((i > 0) & (F.trim(at(i - 1)) != "") & ~at(i - 1).rlike(_ROOMY), F.lit("\n")).otherwise(F.lit(""))
-    after = lambda i: F.when(F.trim(at(i + 1)) != "", F.lit("\n")).otherwise(F.lit(""))
-    return F.array_join(F.transform(lines, lambda x, i: F.when(x.rlike(_ROOMY), F.concat(before(i), F.trim(x), after(i))).otherwise(x)), "\n")
+    before = lambda z: F.when((F.trim(z["p"]) != "") & ~z["p"].rlike(_ROOMY), F.lit("\n")).otherwise(F.lit(""))
+    after = lambda z: F.when(F.trim(z["q"]) != "", F.lit("\n")).otherwise(F.lit(""))
+    done = F.transform("_z", lambda z: F.when(z["x"].rlike(_ROOMY), F.concat(before(z), F.trim(z["x"]), after(z))).otherwise(z["x"]))
+    return _lines(df, text).withColumn(text, F.array_join(done, "\n")).drop("_l", "_z")
 
 
 def split_embedded(text: Column) -> Column:
@@ -278,16 +296,12 @@ def noisy(text: Column, key: Column) -> Column:
     return out
 
 
-def _over(make) -> object:
-    return lambda spark, sf_dir: damaged(spark, sf_dir).select("doc_id", make(F.col("text")).alias("repaired"))
-
-
-def rp2_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_text(damaged(spark, sf_dir)).select("doc_id", F.col("text").alias("repaired"))
+def _over_frame(make) -> object:
+    return lambda spark, sf_dir: make(damaged(spark, sf_dir)).select("doc_id", F.col("text").alias("repaired"))
 
 
-def rp2e_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_headers(damaged(spark, sf_dir)).select("doc_id", F.col("text").alias("repaired"))
+def _over(make) -> object:
+    return lambda spark, sf_dir: damaged(spark, sf_dir).select("doc_id", make(F.col("text")).alias("repaired"))
 
 
 def rp1_substitutions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,9 +318,9 @@ def rp22_noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "rp1_library": _over(LIBRARY.apply), "rp1_substitutions": rp1_substitutions, "rp2_page_text": rp2_page_text, "rp2a_states": _over(STATE_SPLIT.apply), "rp2b_cities": _over(CITY_STATE.apply),
-    "rp2c_glue": _over(HEADER_GLUE.apply), "rp2d_room": _over(HEADER_ROOM.apply), "rp2e_repeated": rp2e_repeated, "rp2f_dates": _over(PAGE_DATES.apply), "rp2g_merged": _over(merged_capitals),
-    "rp3_final": _over(final_text), "rp4_corrections": _over(lambda t: WHITE.apply(corrected_text(t))), "rp5_standardised": _over(standardised), "rp6_roomy": _over(roomy_headers), "rp7_split": _over(split_embedded),
+    "rp1_library": _over(LIBRARY.apply), "rp1_substitutions": rp1_substitutions, "rp2_page_text": _over_frame(page_text), "rp2a_states": _over(STATE_SPLIT.apply), "rp2b_cities": _over(CITY_STATE.apply),
+    "rp2c_glue": _over(HEADER_GLUE.apply), "rp2d_room": _over(HEADER_ROOM.apply), "rp2e_repeated": _over_frame(repeated_headers), "rp2f_dates": _over(PAGE_DATES.apply), "rp2g_merged": _over(merged_capitals),
+    "rp3_final": _over_frame(final_text), "rp4_corrections": _over(lambda t: WHITE.apply(corrected_text(t))), "rp5_standardised": _over_frame(standardised), "rp6_roomy": _over_frame(roomy_headers), "rp7_split": _over(split_embedded),
     "rp10_healed": _over(HEAL.apply), "rp13_patterns": _over(PATTERNS.apply), "rp19_ordered": _over(lambda t: LIBRARY.apply(t, ["dates", "locations", "contact", "headers"])), "rp22_noisy": rp22_noisy,
 }
 
@@ -321,7 +335,6 @@ def _page_sql(text: str) -> str:
     return text
 
 
-_SKILL = r"(^|[^A-Za-z0-9_])SKILLS([^A-Za-z0-9_]|\z)"
 _EVERY = ", ".join(f"'{n}'" for names in STANDARD_HEADERS.values() for n in names)
 _INSIDE = rf"([^a-zA-Z0-9\n])({_longest(EMBEDDED)})([^a-zA-Z0-9]|\z)"
 _SUBS = " UNION ALL ".join(

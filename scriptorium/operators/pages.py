@@ -159,8 +159,8 @@ def cp14_tailored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole run on every damaged page: the chain for pages, the final chain, and text that a screening program reads."""
     from scriptorium.operators.repair import ATS
 
-    done = chains.page_text(damaged(spark, sf_dir))
-    return done.select("doc_id", F.md5(F.trim(ATS.apply(chains.final_text(F.col("text")))).cast("binary")).alias("md5"))
+    done = chains.final_text(chains.page_text(damaged(spark, sf_dir)))
+    return done.select("doc_id", F.md5(F.trim(ATS.apply(F.col("text"))).cast("binary")).alias("md5"))
 
 
 def st_functions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,7 +153,7 @@ SQL = {
  MATCH(lower(line), 'linkedin[.]com|/in/') AS linkedin, MATCH(lower(line), '(https?://)?(www[.])?[a-z0-9-]+[.][a-z]{2,}(/[^ ]*)?') AS website, MATCH(line, '[A-Z][a-zA-Z ]+, *[A-Z]{2}( +[0-9]{5})?([^A-Za-z0-9_]|$)') AS address FROM {L} WHERE line <> '' AND i < 10""",
     "fl_lines": f"""SELECT doc_id, i, length(line) > 10 AS long_enough, MATCH(line, '^[•*-]') AS bullet, MATCH(line, '[.:;]$') AS ended, MATCH(line, '(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* [0-9]{{4}}$') AS month_year,
  {_CAPS} AND length(line) > 3 AND {_FEW} AS capitals, {_TITLE} AND {_FEW} AS title_case, MATCH(line, 'Mc|Mac|Van|De|La') AS particle FROM {{L}} WHERE line <> ''""",
-    "fl13_rejected": f"""SELECT doc_id, i, header, CASE WHEN MATCH(before, '[a-z]$') THEN 'inside a word' WHEN MATCH(after, '^[a-z]') THEN 'goes on' WHEN MATCH(before, '[a-z,] $') THEN 'inside a sentence' WHEN MATCH(after, '^ [a-z]') THEN 'sentence goes on' ELSE '' END AS rejected
+    "fl13_rejected": f"""SELECT doc_id, i, header, CASE WHEN MATCH(before, '[A-Za-z0-9]$') THEN 'inside a word' WHEN MATCH(after, '^[A-Za-z0-9]') THEN 'goes on' WHEN MATCH(before, '[a-z,] $') THEN 'inside a sentence' WHEN MATCH(after, '^ [a-z]') THEN 'sentence goes on' ELSE '' END AS rejected
  FROM (SELECT doc_id, i, header, substring(line, 1, instr(line, header) - 1) AS before, substring(line, instr(line, header) + length(header)) AS after FROM (SELECT doc_id, i, line, regexp_extract(line, '({'|'.join(n[0].upper() for n in FAMILIES.values())})', 1) AS header FROM {{L}}) x WHERE header <> '') y""",
     "pj17_tags": f"SELECT doc_id, i, CASE WHEN {_CAPS} AND length(line) < 50 THEN 'header' WHEN MATCH(line, ':$') THEN 'subheader' WHEN MATCH(line, '^[•*-]') THEN 'bullet' ELSE 'text' END AS tag FROM {{L}} WHERE line <> ''",
     "wn10_dropped": f"""SELECT doc_id, i, line = 'RESUME' AS resume, in_work = 1 AND year_near = 1 AND MATCH(lower(line), '{'|'.join(JOB_TITLES).lower()}') AS job_title, length(line) > 30 AND NOT MATCH(lower(line), '{'|'.join(n[0] for n in FAMILIES.values())}') AS too_long FROM (
