@@ -128,19 +128,13 @@ _SHORT = "|".join(m[:3] for m in MONTHS)
     .add("position", "titles", r"([A-Z][a-z]+(?: [A-Z][a-z]+)*) (?:at|for) ([A-Z][a-zA-Z\s,.]+)", "\n$1 at $2")
     .add("job_dates", "titles", rf"(?i)((?:{_SHORT})[a-z]* [0-9]{{4}})\s*(-|to|–|—)\s*((?:{_SHORT})[a-z]* [0-9]{{4}}|Present|Current)", "\n$1 $2 $3")
 )
-WORDS = RuleSet()
-for _wrong, _right in CORRECTIONS.items():
-    WORDS.add(_wrong, "words", f"{_B}{_wrong}{_E}", f"$1{_right}$2")
 PATTERNS = RuleSet().add("https", "urls", "(?i)htt[o]s://", "https://").add("http", "urls", "(?i)hftp://", "http://").add("www", "urls", "(?i)wwvv[.]", "www.").add("spotify", "urls", "(?i)spoti[.]fi([0-9a-zA-Z]+)", "spoti.fi/$1").add("com", "urls", f"(?i)[.]corn{_E}", ".com$1")
 PATTERNS.add("before_phone", "phones", rf"{_B}(?:JJR|JJ)\s*([0-9]{{3}}[-\s]*[0-9]{{3}}[-\s]*[0-9]{{4}})", "$1$2").add("after_phone", "phones", rf"([0-9]{{3}}[-\s]*[0-9]{{3}}[-\s]*[0-9]{{4}})\s*(?:JJR|JJ){_E}", "$1$2").add("artifact", "phones", rf"{_B}(?:JJ\s+R|JJR|JJ){_E}", "$1$2")
 for _w in SPLIT_WORDS:
     _cut = {"company": 3, "implementation": 5}.get(_w, len(_w.split("ment")[0]))
     _head = _w[1:_cut].replace("m", "rn") if _w == "company" else _w[1:_cut]
     PATTERNS.add(f"split_{_w}", "split words", f"{_B}([{_w[0].upper()}{_w[0]}]){_head} {_w[_cut:]}{_E}", f"$1$2{_w[1:]}$3")
-for _w in RN_WORDS:
-    _bad = next(k for k, v in CORRECTIONS.items() if v == _w)
-    for _case in (str.lower, str.capitalize, str.upper):
-        PATTERNS.add(f"rn_{_case(_w)}", "rn", f"{_B}{_case(_bad)}{_E}", f"$1{_case(_w)}$2")
+RN = {c(next(k for k, v in CORRECTIONS.items() if v == w)): c(w) for w in RN_WORDS for c in (str.lower, str.capitalize, str.upper)}
 WHITE = RuleSet().add("white", "white", r"[ \t\n\r]+", " ")
 SYNONYMS = RuleSet().add("blanks", "blanks", r"[ \t]+", " ")
 for _std, _names in STANDARD_HEADERS.items():
@@ -221,9 +215,21 @@ def page_text(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn(text, merged_capitals(PAGE_DATES.apply(F.col(text))))
 
 
+def exchanged(text: Column, known: dict[str, str]) -> Column:
+    """Whole words exchanged in one pass, however many there are: all are marked, and the marked pieces looked up."""
+    marked = F.regexp_replace(F.translate(text, "\x01", ""), f"(?<![A-Za-z0-9_])({_longest(known)})(?![A-Za-z0-9_])", "\x01$1\x01")
+    table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
+    return F.array_join(F.transform(F.split(marked, "\x01"), lambda p: F.coalesce(F.try_element_at(table, p), p)), "")
+
+
+def patterns(text: Column) -> Column:
+    """URLs, phones and split words by rules, then rn for m in known words of any case."""
+    return exchanged(PATTERNS.apply(text), RN)
+
+
 def corrected_text(text: Column) -> Column:
     """Known words, then URLs, phones, split words and rn for m; line ends stay."""
-    return PATTERNS.apply(WORDS.apply(text))
+    return PATTERNS.apply(exchanged(text, RN | CORRECTIONS))
 
 
 def _lines(df: DataFrame, text: str) -> DataFrame:
@@ -321,10 +327,26 @@ QUERIES = {
     "rp1_library": _over(LIBRARY.apply), "rp1_substitutions": rp1_substitutions, "rp2_page_text": _over_frame(page_text), "rp2a_states": _over(STATE_SPLIT.apply), "rp2b_cities": _over(CITY_STATE.apply),
     "rp2c_glue": _over(HEADER_GLUE.apply), "rp2d_room": _over(HEADER_ROOM.apply), "rp2e_repeated": _over_frame(repeated_headers), "rp2f_dates": _over(PAGE_DATES.apply), "rp2g_merged": _over(merged_capitals),
     "rp3_final": _over_frame(final_text), "rp4_corrections": _over(lambda t: WHITE.apply(corrected_text(t))), "rp5_standardised": _over_frame(standardised), "rp6_roomy": _over_frame(roomy_headers), "rp7_split": _over(split_embedded),
-    "rp10_healed": _over(HEAL.apply), "rp13_patterns": _over(PATTERNS.apply), "rp19_ordered": _over(lambda t: LIBRARY.apply(t, ["dates", "locations", "contact", "headers"])), "rp22_noisy": rp22_noisy,
+    "rp10_healed": _over(HEAL.apply), "rp13_patterns": _over(patterns), "rp19_ordered": _over(lambda t: LIBRARY.apply(t, ["dates", "locations", "contact", "headers"])), "rp22_noisy": rp22_noisy,
 }
 
 
+def _word_rules(known: dict[str, str]) -> RuleSet:
+    """A rule for each word, twice: neighbours share a border."""
+    rules = RuleSet()
+    for wrong, right in [*known.items()] * 2:
+        rules.add(wrong, "words", f"{_B}{wrong}{_E}", f"$1{right}$2")
+    return rules
+
+
+def patterns_sql(text: str) -> str:
+    return _word_rules(RN).sql(PATTERNS.sql(text))
+
+
+def corrected_sql(text: str) -> str:
+    return patterns_sql(_word_rules(CORRECTIONS).sql(text))
+
+
 def _sql(expression: str) -> str:
     return f"WITH {DAMAGED_SQL} SELECT doc_id, {expression} AS repaired FROM damaged"
 
@@ -344,11 +366,11 @@ ORACLE_SQL = {
     "rp1_library": _sql(LIBRARY.sql("text")), "rp2a_states": _sql(STATE_SPLIT.sql("text")), "rp2b_cities": _sql(CITY_STATE.sql("text")), "rp2c_glue": _sql(HEADER_GLUE.sql("text")), "rp2d_room": _sql(HEADER_ROOM.sql("text")),
     "rp2e_repeated": _sql(_repeated_sql("text")), "rp2f_dates": _sql(PAGE_DATES.sql("text")), "rp2g_merged": _sql(MERGED_SQL.replace("{0}", "text")),
     "rp2_page_text": f"WITH {DAMAGED_SQL}, a AS (SELECT doc_id, {_page_sql('text')} AS text FROM damaged), b AS (SELECT doc_id, {_repeated_sql('text')} AS text FROM a), c AS (SELECT doc_id, {PAGE_DATES.sql('text')} AS text FROM b) SELECT doc_id, {MERGED_SQL.replace('{0}', 'text')} AS repaired FROM c",
-    "rp3_final": rf"""WITH {DAMAGED_SQL}, a AS (SELECT doc_id, {RESUME.sql(HEADER_ROOM.sql(PATTERNS.sql(WORDS.sql(LIBRARY.sql('text', ['headers', 'dates', 'locations', 'contact'])))))} AS text FROM damaged),
+    "rp3_final": rf"""WITH {DAMAGED_SQL}, a AS (SELECT doc_id, {RESUME.sql(HEADER_ROOM.sql(corrected_sql(LIBRARY.sql('text', ['headers', 'dates', 'locations', 'contact']))))} AS text FROM damaged),
 l AS (SELECT doc_id, unnest(l) AS x, unnest(range(len(l))) AS i FROM (SELECT doc_id, string_split(text, E'\n') AS l FROM a)),
 m AS (SELECT *, min(CASE WHEN regexp_matches(x, '{_SKILL}') THEN i END) OVER (PARTITION BY doc_id) AS first FROM l),
 j AS (SELECT doc_id, string_agg(CASE WHEN i > first AND regexp_matches(x, '{_SKILL}') THEN '• SKILLS:' ELSE x END, E'\n' ORDER BY i) AS text FROM m GROUP BY doc_id) SELECT doc_id, {TIDY.sql('text')} AS repaired FROM j""",
-    "rp4_corrections": _sql(WHITE.sql(PATTERNS.sql(WORDS.sql("text")))), "rp13_patterns": _sql(PATTERNS.sql("text")), "rp10_healed": _sql(HEAL.sql("text")),
+    "rp4_corrections": _sql(WHITE.sql(corrected_sql("text"))), "rp13_patterns": _sql(patterns_sql("text")), "rp10_healed": _sql(HEAL.sql("text")),
     "rp5_standardised": rf"""WITH {DAMAGED_SQL}, a AS (SELECT doc_id, list_filter(list_transform(string_split({SYNONYMS.sql('text')}, E'\n'), lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM damaged),
 e AS (SELECT doc_id, len(l) AS n, unnest(l) AS x, unnest(range(len(l))) AS i FROM a), s AS (SELECT doc_id, string_agg(CASE WHEN upper(x) IN ({_EVERY}) AND i < n - 1 THEN concat(x, E'\n') ELSE x END, E'\n' ORDER BY i) AS r FROM e GROUP BY doc_id)
 SELECT doc_id, coalesce(r, '') AS repaired FROM damaged LEFT JOIN s USING (doc_id)""",

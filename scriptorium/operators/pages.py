@@ -137,7 +137,7 @@ def cp27_left(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rp14_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word corrections with the case of the word, then the patterns."""
     lower = {k: v for k, v in chains.CORRECTIONS.items() if k == k.lower()}
-    return damaged(spark, sf_dir).select("doc_id", chains.PATTERNS.apply(corrected(F.col("text"), lower)).alias("repaired"))
+    return damaged(spark, sf_dir).select("doc_id", chains.patterns(corrected(F.col("text"), lower)).alias("repaired"))
 
 
 def pj19_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,8 +210,8 @@ m AS (SELECT item_id, len(keywords) AS n, len(list_filter(keywords, lambda x: co
 SELECT item_id, CAST(p AS INTEGER) AS present, CAST(n - p AS INTEGER) AS missing, CAST(CASE WHEN n = 0 THEN 0 ELSE round_even(100.0 * p / n, 0) END AS INTEGER) AS score FROM m""",
         "so5_rules": f"SELECT * FROM ({chains.ORACLE_SQL['rp1_substitutions']}) WHERE name <> '' ORDER BY n DESC, name LIMIT 10",
         "ex8_examples": f"WITH {DAMAGED_SQL}, {line.format('damaged')}, a AS (SELECT doc_id, i, line AS before, {chains.LIBRARY.sql('line')} AS after FROM L) SELECT * FROM a WHERE before <> after",
-        "cp27_left": f"WITH {DAMAGED_SQL}, a AS (SELECT text, {chains.PATTERNS.sql(chains.WORDS.sql('text'))} AS after FROM damaged) " + " UNION ALL ".join(f"SELECT '{w}' AS word, CAST(sum(CASE WHEN contains(text, '{w}') THEN 1 ELSE 0 END) AS BIGINT) AS before, CAST(sum(CASE WHEN contains(after, '{w}') THEN 1 ELSE 0 END) AS BIGINT) AS after FROM a" for w in chains.CORRECTIONS),
-        "rp14_live": rf"WITH {DAMAGED_SQL}, c AS (SELECT doc_id, array_to_string(list_transform(list_filter(string_split_regex(text, '[ \t\n\r\f\x0B]+'), lambda x: x <> ''), lambda t: {cased}), ' ') AS text FROM damaged) SELECT doc_id, {chains.PATTERNS.sql('text')} AS repaired FROM c",
+        "cp27_left": f"WITH {DAMAGED_SQL}, a AS (SELECT text, {chains.corrected_sql('text')} AS after FROM damaged) " + " UNION ALL ".join(f"SELECT '{w}' AS word, CAST(sum(CASE WHEN contains(text, '{w}') THEN 1 ELSE 0 END) AS BIGINT) AS before, CAST(sum(CASE WHEN contains(after, '{w}') THEN 1 ELSE 0 END) AS BIGINT) AS after FROM a" for w in chains.CORRECTIONS),
+        "rp14_live": rf"WITH {DAMAGED_SQL}, c AS (SELECT doc_id, array_to_string(list_transform(list_filter(string_split_regex(text, '[ \t\n\r\f\x0B]+'), lambda x: x <> ''), lambda t: {cased}), ' ') AS text FROM damaged) SELECT doc_id, {chains.patterns_sql('text')} AS repaired FROM c",
         "pj19_markdown": f"WITH m AS ({advice.ORACLE_SQL['mt2_analysis']}) SELECT item_id, concat_ws(E'\\n', concat('## Score: ', score), '### Present', array_to_string(list_transform(string_split(present, ','), lambda x: concat('- ', x)), E'\\n'), '### Missing', array_to_string(list_transform(string_split(missing, ','), lambda x: concat('- ', x)), E'\\n')) AS markdown FROM m",
         "cp2_analysed": f"WITH a AS ({SECTIONS['sx21_analysis']}), k AS ({structure.ORACLE_SQL['sx20_classified']}), c AS (SELECT doc_id, string_agg(type, ',' ORDER BY seq) AS classes FROM k GROUP BY doc_id) SELECT * FROM a JOIN c USING (doc_id)",
         "cp14_tailored": f"SELECT doc_id, md5(trim({ATS.sql('repaired')}, ' ')) AS md5 FROM ({final})",

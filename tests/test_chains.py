@@ -28,6 +28,7 @@ def test_library_cases(spark):
 def test_chains_on_cases(spark):
     assert one(spark, "KansasLed and West VirginiaMade", chains.STATE_SPLIT.apply) == "Kansas\nLed and West Virginia\nMade"
     assert one(spark, "the cornpany and Manage ment, www.site.corn/x", chains.corrected_text) == "the company and Management, www.site.com/x"
+    assert one(spark, "cornpany cornpany RNANAGEMENT xcornpany", chains.corrected_text) == "company company MANAGEMENT xcornpany"
     assert one(spark, "call 555-010-0199 JJR now", chains.PATTERNS.apply) == "call 555-010-0199 now"
     assert one(spark, "DataAnalyst OpsTeam McDonald SeniorClerk", chains.merged_capitals) == "Data Analyst Ops Team McDonald Senior Clerk"
     assert one(spark, "TexasRanger", chains.merged_capitals) == "Texas\nRanger"
