@@ -7,6 +7,8 @@ borders or look-around, so that SQL engines agree on them.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,7 +75,7 @@ LIBRARY = (
     .add("dash_prefix", "dates", rf"^-\s*({_MONTH})\s+([0-9]{{4}})", " - $1 $2")
     .add("dash_prefix_inline", "dates", rf"\n-\s*({_MONTH})\s+([0-9]{{4}})", "\n - $1 $2")
     .add("newline_in_range", "dates", rf"({_MONTH})\s+([0-9]{{4}})\s*-\s*({_MONTH})\s*\n\s*([0-9]{{4}})", "$1 $2 - $3 $4")
-    .add("sept", "dates", f"{_B}Sept{_E}", "$1Sep$2")
+    .add("sept", "dates", f"{_B}Sept{_E}", "$1Sep$2", "Sept")
     .add("month_year_glued", "dates", rf"{_B}({_MONTH})([0-9]{{4}}){_E}", "$1$2 $3$4")
     .add("dash_spacing", "dates", rf"({_MONTH})\s+([0-9]{{4}}){_DASH}({_MONTH})\s+([0-9]{{4}})", "$1 $2 - $3 $4")
     .add("year_range", "dates", rf"([0-9]{{4}}){_DASH}([0-9]{{4}})", "$1 - $2")
@@ -81,13 +83,13 @@ LIBRARY = (
     .add("state_verb_past", "locations", f"({_STATE})([A-Z][a-z]+ed){_E}", "$1\n$2$3")
     .add("state_verb_ing", "locations", f"({_STATE})([A-Z][a-z]+ing){_E}", "$1\n$2$3")
     .add("city_verb", "locations", f"({_CITY})([A-Z][a-z]+)", "$1\n$2")
-    .add("space_before_at", "contact", r"([A-Za-z0-9_]+)\s+@([A-Za-z0-9_]+)", "$1@$2")
-    .add("space_after_at", "contact", r"([A-Za-z0-9_]+)@\s+([A-Za-z0-9_]+)", "$1@$2")
-    .add("space_around_at", "contact", r"([A-Za-z0-9_]+)\s+@\s+([A-Za-z0-9_]+)", "$1@$2")
-    .add("embedded_skills", "headers", "([a-z])SKILLS", "$1\n\nSKILLS")
-    .add("embedded_experience", "headers", "([a-z])EXPERIENCE", "$1\n\nEXPERIENCE")
-    .add("period_skills", "headers", "[.]SKILLS", ".\n\nSKILLS")
-    .add("period_experience", "headers", "[.]EXPERIENCE", ".\n\nEXPERIENCE")
+    .add("space_before_at", "contact", r"([A-Za-z0-9_]+)\s+@([A-Za-z0-9_]+)", "$1@$2", "@")
+    .add("space_after_at", "contact", r"([A-Za-z0-9_]+)@\s+([A-Za-z0-9_]+)", "$1@$2", "@")
+    .add("space_around_at", "contact", r"([A-Za-z0-9_]+)\s+@\s+([A-Za-z0-9_]+)", "$1@$2", "@")
+    .add("embedded_skills", "headers", "([a-z])SKILLS", "$1\n\nSKILLS", "SKILLS")
+    .add("embedded_experience", "headers", "([a-z])EXPERIENCE", "$1\n\nEXPERIENCE", "EXPERIENCE")
+    .add("period_skills", "headers", "[.]SKILLS", ".\n\nSKILLS", ".SKILLS")
+    .add("period_experience", "headers", "[.]EXPERIENCE", ".\n\nEXPERIENCE", ".EXPERIENCE")
 )
 STATE_SPLIT = (
     RuleSet()
@@ -100,7 +102,7 @@ STATE_SPLIT = (
 CITY_STATE = (
     RuleSet()
     .add("city_state_word", "cities", r"([A-Z][a-z]+(?: [A-Z][a-z]+)?)\s*,\s*([A-Z]{2})([A-Z][a-z]+)", "$1, $2\n$3")
-    .add("salt_lake", "cities", r"Salt\s+Lake\s+City\s*([A-Z][a-z]+)", "Salt Lake City\n$1")
+    .add("salt_lake", "cities", r"Salt\s+Lake\s+City\s*([A-Z][a-z]+)", "Salt Lake City\n$1", "Salt")
     .add("name_location", "cities", r"([A-Z]{2,})\s*([A-Z]{2,})\s*([A-Z][a-z]+)", "$1 $2\n$3")
 )
 #: Headers in capitals only: in any case, words like "experienced" would be cut.
@@ -124,17 +126,18 @@ _SHORT = "|".join(m[:3] for m in MONTHS)
     .add("glued", "dates", rf"(?i)({_SHORT})([0-9]{{4}})", "$1 $2")
     .add("side_by_side", "dates", rf"(?i)({_SHORT})[a-z]*\s+([0-9]{{4}})\s+({_SHORT})[a-z]*\s+([0-9]{{4}})", "$1 $2 - $3 $4")
     .add("resume", "titles", rf"(?i){_B}(?:RESUME|CV)[ \t]*\n+", "$1")
-    .add("objective", "titles", "([a-z])(OBJECTIVE)([a-z])", "$1\n\n$2\n\n$3")
+    .add("objective", "titles", "([a-z])(OBJECTIVE)([a-z])", "$1\n\n$2\n\n$3", "OBJECTIVE")
     .add("position", "titles", r"([A-Z][a-z]+(?: [A-Z][a-z]+)*) (?:at|for) ([A-Z][a-zA-Z\s,.]+)", "\n$1 at $2")
     .add("job_dates", "titles", rf"(?i)((?:{_SHORT})[a-z]* [0-9]{{4}})\s*(-|to|–|—)\s*((?:{_SHORT})[a-z]* [0-9]{{4}}|Present|Current)", "\n$1 $2 $3")
 )
 PATTERNS = RuleSet().add("https", "urls", "(?i)htt[o]s://", "https://").add("http", "urls", "(?i)hftp://", "http://").add("www", "urls", "(?i)wwvv[.]", "www.").add("spotify", "urls", "(?i)spoti[.]fi([0-9a-zA-Z]+)", "spoti.fi/$1").add("com", "urls", f"(?i)[.]corn{_E}", ".com$1")
-PATTERNS.add("before_phone", "phones", rf"{_B}(?:JJR|JJ)\s*([0-9]{{3}}[-\s]*[0-9]{{3}}[-\s]*[0-9]{{4}})", "$1$2").add("after_phone", "phones", rf"([0-9]{{3}}[-\s]*[0-9]{{3}}[-\s]*[0-9]{{4}})\s*(?:JJR|JJ){_E}", "$1$2").add("artifact", "phones", rf"{_B}(?:JJ\s+R|JJR|JJ){_E}", "$1$2")
+PATTERNS.add("before_phone", "phones", rf"{_B}(?:JJR|JJ)\s*([0-9]{{3}}[-\s]*[0-9]{{3}}[-\s]*[0-9]{{4}})", "$1$2", "JJ").add("after_phone", "phones", rf"([0-9]{{3}}[-\s]*[0-9]{{3}}[-\s]*[0-9]{{4}})\s*(?:JJR|JJ){_E}", "$1$2", "JJ").add("artifact", "phones", rf"{_B}(?:JJ\s+R|JJR|JJ){_E}", "$1$2", "JJ")
 for _w in SPLIT_WORDS:
     _cut = {"company": 3, "implementation": 5}.get(_w, len(_w.split("ment")[0]))
     _head = _w[1:_cut].replace("m", "rn") if _w == "company" else _w[1:_cut]
-    PATTERNS.add(f"split_{_w}", "split words", f"{_B}([{_w[0].upper()}{_w[0]}]){_head} {_w[_cut:]}{_E}", f"$1$2{_w[1:]}$3")
+    PATTERNS.add(f"split_{_w}", "split words", f"{_B}([{_w[0].upper()}{_w[0]}]){_head} {_w[_cut:]}{_E}", f"$1$2{_w[1:]}$3", f"{_head} {_w[_cut:]}")
 RN = {c(next(k for k, v in CORRECTIONS.items() if v == w)): c(w) for w in RN_WORDS for c in (str.lower, str.capitalize, str.upper)}
+_PIECES = ["rn", "Rn", "RN", "iplomacy", "IPLOMACY", "illereek", "ILLEREEK"]
 WHITE = RuleSet().add("white", "white", r"[ \t\n\r]+", " ")
 SYNONYMS = RuleSet().add("blanks", "blanks", r"[ \t]+", " ")
 for _std, _names in STANDARD_HEADERS.items():
@@ -144,13 +147,13 @@ for _std, _names in STANDARD_HEADERS.items():
     SYNONYMS.add(f"middle_{_std}", "middle", rf"([.!?])(\s+)({_any})(\s+)", f"$1$2\n\n{_std}\n\n")
     SYNONYMS.add(f"alone_{_std}", "alone", rf"(\s)({_any})(\s|:|\z)", f"\n\n{_std}\n\n")
 SYNONYMS.add("bullets", "bullets", r"([^\n])(\s*[•*-])(\s)", "$1\n$2$3").add("lines", "lines", r"\n{3,}", "\n\n")
-TIDY = RuleSet().add("lines", "tidy", r"\n{3,}", "\n\n").add("blanks", "tidy", r"[ \t]{2,}", " ").add("ends", "tidy", r" +\n", "\n").add("starts", "tidy", r"\n +", "\n")
-RESUME = RuleSet().add("first", "resume", r"^RESUME\s*\n+", "").add("line", "resume", r"\n\s*RESUME\s*\n", "\n")
+TIDY = RuleSet().add("lines", "tidy", r"\n{3,}", "\n\n", "\n\n\n").add("blanks", "tidy", r"[ \t]{2,}", " ").add("ends", "tidy", r" +\n", "\n", " \n").add("starts", "tidy", r"\n +", "\n", "\n ")
+RESUME = RuleSet().add("first", "resume", r"^RESUME\s*\n+", "", "RESUME").add("line", "resume", r"\n\s*RESUME\s*\n", "\n", "RESUME")
 BLANKS = RuleSet().add("blanks", "blanks", r"[ \t]+", " ")
 #: A header and a small fragment on the next line are one word.
 HEAL = RuleSet()
 for _h in HEADERS:
-    HEAL.add(f"heal_{_h}", "heal", rf"(^|\n){_h}\s*\n\s*([a-z0-9])", f"$1{_h.lower()}$2")
+    HEAL.add(f"heal_{_h}", "heal", rf"(^|\n){_h}\s*\n\s*([a-z0-9])", f"$1{_h.lower()}$2", _h)
 _SKILL = r"(^|[^A-Za-z0-9_])SKILLS([^A-Za-z0-9_]|\z)"
 EMBEDDED = [h for h in HEADERS if len(h) >= 5]
 
@@ -215,21 +218,30 @@ def page_text(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn(text, merged_capitals(PAGE_DATES.apply(F.col(text))))
 
 
-def exchanged(text: Column, known: dict[str, str]) -> Column:
-    """Whole words exchanged in one pass, however many there are: all are marked, and the marked pieces looked up."""
-    marked = F.regexp_replace(F.translate(text, "\x01", ""), f"(?<![A-Za-z0-9_])({_longest(known)})(?![A-Za-z0-9_])", "\x01$1\x01")
+def exchanged(text: Column, known: dict[str, str], pieces: list[str]) -> Column:
+    """Whole words exchanged in one pass, however many there are: all are marked, and the marked pieces looked up.
+
+    Every word holds one of the pieces; a text without any isn't searched.
+    """
+    assert all(any(x in w for x in pieces) for w in known)
     table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
-    return F.array_join(F.transform(F.split(marked, "\x01"), lambda p: F.coalesce(F.try_element_at(table, p), p)), "")
+
+    def done(t: Column) -> Column:
+        marked = F.regexp_replace(F.translate(t, "\x01", ""), f"(?<![A-Za-z0-9_])({_longest(known)})(?![A-Za-z0-9_])", "\x01$1\x01")
+        return F.array_join(F.transform(F.split(marked, "\x01"), lambda p: F.coalesce(F.try_element_at(table, p), p)), "")
+
+    some = lambda t: reduce(lambda a, b: a | b, [t.contains(x) for x in pieces])
+    return F.transform(F.array(text), lambda t: F.when(some(t), done(t)).otherwise(t))[0]
 
 
 def patterns(text: Column) -> Column:
     """URLs, phones and split words by rules, then rn for m in known words of any case."""
-    return exchanged(PATTERNS.apply(text), RN)
+    return exchanged(PATTERNS.apply(text), RN, _PIECES)
 
 
 def corrected_text(text: Column) -> Column:
     """Known words, then URLs, phones, split words and rn for m; line ends stay."""
-    return PATTERNS.apply(exchanged(text, RN | CORRECTIONS))
+    return PATTERNS.apply(exchanged(text, RN | CORRECTIONS, _PIECES))
 
 
 def _lines(df: DataFrame, text: str) -> DataFrame:
@@ -314,7 +326,9 @@ def rp1_substitutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """category, name, n, docs: substitutions of each rule and of each category (name '')."""
     rules = LIBRARY.rules
     d = damaged(spark, sf_dir)
-    counts = d.agg(*[F.sum(F.regexp_count("text", F.lit(r.pattern)).cast("long")).alias(f"n{i}") for i, r in enumerate(rules)], *[F.sum(F.col("text").rlike(r.pattern).cast("long")).alias(f"d{i}") for i, r in enumerate(rules)])
+    hits = lambda r: F.when(F.col("text").contains(r.needs), F.regexp_count("text", F.lit(r.pattern))).otherwise(0).cast("long")
+    d = d.select(*[hits(r).alias(f"h{i}") for i, r in enumerate(rules)])
+    counts = d.agg(*[x for i in range(len(rules)) for x in (F.sum(f"h{i}").alias(f"n{i}"), F.sum((F.col(f"h{i}") > 0).cast("long")).alias(f"d{i}"))])
     each = counts.select(F.explode(F.array(*[F.struct(F.lit(r.category).alias("category"), F.lit(r.name).alias("name"), F.coalesce(f"n{i}", F.lit(0)).alias("n"), F.coalesce(f"d{i}", F.lit(0)).alias("docs")) for i, r in enumerate(rules)])).alias("x")).select("x.*")
     return each.unionByName(each.groupBy("category").agg(F.lit("").alias("name"), F.sum("n").alias("n"), F.sum("docs").alias("docs")))
 

@@ -18,6 +18,14 @@ class Rule:
     category: str
     pattern: str  # RE2 and Java alike: no look-around
     replacement: str  # with $1, $2
+    needs: str = ""  # what every match holds: a text without it isn't searched
+
+    def on(self, text: Column) -> Column:
+        rewritten = lambda t: F.regexp_replace(t, self.pattern, self.replacement)
+        if not self.needs:
+            return rewritten(text)
+        # as an array of one, the text is named and so is evaluated once
+        return F.transform(F.array(text), lambda t: F.when(t.contains(self.needs), rewritten(t)).otherwise(t))[0]
 
 
 @dataclass
@@ -26,8 +34,8 @@ class RuleSet:
 
     rules: list[Rule] = field(default_factory=list)
 
-    def add(self, name: str, category: str, pattern: str, replacement: str) -> RuleSet:
-        self.rules.append(Rule(name, category, pattern, replacement))
+    def add(self, name: str, category: str, pattern: str, replacement: str, needs: str = "") -> RuleSet:
+        self.rules.append(Rule(name, category, pattern, replacement, needs))
         return self
 
     def get(self, name: str) -> Rule | None:
@@ -39,12 +47,12 @@ class RuleSet:
         return [r for c in categories for r in self.rules if r.category == c]
 
     def apply(self, text: Column, categories: list[str] | None = None) -> Column:
-        return reduce(lambda t, r: F.regexp_replace(t, r.pattern, r.replacement), self.chosen(categories), text)
+        return reduce(lambda t, r: r.on(t), self.chosen(categories), text)
 
     def apply_one(self, text: Column, name: str) -> Column:
         """An unknown rule leaves the text as it is."""
         r = self.get(name)
-        return F.regexp_replace(text, r.pattern, r.replacement) if r else text
+        return r.on(text) if r else text
 
     def statistics(self, df: DataFrame, text: str = "text") -> DataFrame:
         """rule_no, name, category, changed: texts that each rule alone would change."""
