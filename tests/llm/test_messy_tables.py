@@ -321,17 +321,17 @@ def brute_pipeline(spark, sf, texts):
     return out
 
 
-def test_pipeline(spark, sf, texts):
+def test_pipeline(spark, sf, texts, monkeypatch):
     import corpus_pipeline
 
+    seen, write = {}, corpus_pipeline.written
+    monkeypatch.setattr(corpus_pipeline, "written", lambda df, label: (seen.update({label: df.columns}), write(df, label))[1])
     got = [(r.doc_id, r.n_tokens, tuple(r.ids), r.text) for r in entry.queries()["pipeline"](spark, sf).collect()]
     want = brute_pipeline(spark, sf, texts)
     same(got, want)
     assert 60 < len(want) < len(texts) - 60
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, sf)
-        assert docs.columns == spark.read.parquet(f"{sf}/documents.parquet").columns
+    columns = spark.read.parquet(f"{sf}/documents.parquet").columns
+    assert all(seen[f"pipeline-{name}"] == columns for name, _ in corpus_pipeline.STAGES[:-1])
 
 
 def test_sizes_are_measured(spark):

@@ -235,17 +235,3 @@ def test_toxicity(spark, none):
     assert all(got[i].predicted == int(i % 4 == 0) for i in range(300))
     assert 0 <= got[900].score == got[901].score <= 1
     assert toxicity.score(none, toxicity.learn(none, labels.limit(0))).count() == 0
-
-
-def test_pipeline(spark):
-    import corpus_pipeline as c
-
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    kept = docs
-    for name, stage in c.STAGES[:-1]:
-        kept = stage(spark, kept, sf).cache()
-        assert kept.columns == docs.columns, name
-    out = by_id(c.run(spark, sf))
-    assert set(out) == {r.doc_id for r in kept.select("doc_id").collect()} and 100 < len(out) < docs.count()
-    assert all(r.text == out[r.doc_id].text for r in kept.collect())
