@@ -100,6 +100,37 @@ def sx29_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("words").desc(), "seq")))
 
 
+def sx19_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first way that finds more than one section in a page: headers of four types, header scores, else thirds; and how many it finds."""
+    d = damaged(spark, sf_dir)
+    lines_ = structure.lines(d)
+    low = F.lower(F.regexp_replace("line", "[ :]+$", ""))
+    typed = lines_.groupBy("doc_id").agg(F.sum(low.rlike(f"^({'|'.join(FOUR.values())})$").cast("int")).alias("typed"))
+    peaks = structure.QUERIES["sx9_scores"](spark, sf_dir).groupBy("doc_id").agg(F.sum(F.col("peak").cast("int")).alias("peaks"))
+    both = typed.join(peaks, "doc_id")
+    tier = F.when(F.col("typed") > 1, "pattern").when(F.col("peaks") > 1, "format").otherwise("default")
+    return both.select("doc_id", tier.alias("tier"), F.when(F.col("typed") > 1, F.col("typed")).when(F.col("peaks") > 1, F.col("peaks")).otherwise(3).alias("n"))
+
+
+def sc22_simulated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that stand for a source without access: two for each query, the second remote."""
+    made = F.array(*[F.struct(F.lit(i).alias("pos"), F.concat(F.lit(t), F.initcap("n_name"), F.lit(u)).alias("title"), F.lit(p).alias("location")) for i, (t, u, p) in enumerate([("Senior ", " Clerk", "on site"), ("", " Writer", "remote")])])
+    return read(spark, sf_dir, "nation").select("n_nationkey", F.explode(made).alias("r")).select("n_nationkey", "r.*")
+
+
+def se6_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of two sources under one schema; what both hold stays twice."""
+    a = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("place"), F.lit("a").alias("source"))
+    b = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("place"), F.lit("b").alias("source"))
+    return a.unionByName(b).groupBy("place").agg(F.count("*").alias("n"), F.count_distinct("source").alias("sources"))
+
+
+def cp21_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings of each event: its own over the defaults, unknown ones left out."""
+    own = F.from_json("props", "struct<k:int>")["k"]
+    return read(spark, sf_dir, "events").select("event_id", F.coalesce(own, F.lit(10)).alias("k"), F.lit("light").alias("theme"))
+
+
 def jn9_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections with the class that the classifier gave them."""
     found = structure.QUERIES["sx20_classified"](spark, sf_dir)
@@ -173,7 +204,7 @@ def st_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (sc12_words, sc16_fonts, ag11_formats, sx10_boundaries, sx14_sections, sx15_spans, sx17_thirds, sx18_parts, sx29_counts, jn9_classified, jn2_scores, so5_rules, ex8_examples, cp27_left, rp14_live, pj19_markdown, cp2_analysed, cp14_tailored, st_functions)}
+QUERIES = {f.__name__: f for f in (sc12_words, sc16_fonts, ag11_formats, sx10_boundaries, sx14_sections, sx15_spans, sx17_thirds, sx18_parts, sx29_counts, sx19_tiers, sc22_simulated, se6_union, cp21_settings, jn9_classified, jn2_scores, so5_rules, ex8_examples, cp27_left, rp14_live, pj19_markdown, cp2_analysed, cp14_tailored, st_functions)}
 
 
 def _oracles() -> dict[str, str]:
@@ -203,6 +234,12 @@ SELECT p_partkey, score, score >= 4 AS header, z > 11 AND (b OR NOT regexp_match
         "sx18_parts": rf"""WITH {parsed}, e AS (SELECT doc_id, seq, type, unnest(l) AS line, CAST(unnest(range(len(l))) AS INTEGER) AS i FROM (SELECT *, string_split(content, E'\n') AS l FROM q WHERE {count.format('content')} > {MOST_WORDS})),
 o AS (SELECT *, CASE WHEN regexp_matches(lower(line), 'university|college|degree|school') THEN 'education' WHEN regexp_matches(lower(line), '(19|20)[0-9]{{2}} *[-–] *((19|20)[0-9]{{2}}|present)|manager|engineer') THEN 'experience' WHEN regexp_matches(lower(line), 'python|sql|java|software') THEN 'skills' END AS own FROM e),
 c AS (SELECT *, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id, seq ORDER BY i ROWS UNBOUNDED PRECEDING), type) AS kind FROM o) SELECT doc_id, seq, kind, count(*) AS lines, min(i) AS first FROM c GROUP BY ALL""",
+        "sx19_tiers": f"""WITH {DAMAGED_SQL}, {line.format('damaged')}, t AS (SELECT doc_id, CAST(sum(CASE WHEN regexp_matches(lower(regexp_replace(line, '[ :]+$', '')), '^({'|'.join(FOUR.values())})$') THEN 1 ELSE 0 END) AS BIGINT) AS typed FROM L GROUP BY doc_id),
+k AS (SELECT doc_id, CAST(sum(CASE WHEN peak THEN 1 ELSE 0 END) AS BIGINT) AS peaks FROM ({structure.ORACLE_SQL['sx9_scores']}) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN typed > 1 THEN 'pattern' WHEN peaks > 1 THEN 'format' ELSE 'default' END AS tier, CASE WHEN typed > 1 THEN typed WHEN peaks > 1 THEN peaks ELSE 3 END AS n FROM t JOIN k USING (doc_id)""",
+        "sc22_simulated": "SELECT n_nationkey, pos, concat(CASE pos WHEN 0 THEN 'Senior ' ELSE '' END, array_to_string(list_transform(string_split(lower(n_name), ' '), lambda x: concat(upper(left(x, 1)), substring(x, 2))), ' '), CASE pos WHEN 0 THEN ' Clerk' ELSE ' Writer' END) AS title, CASE pos WHEN 0 THEN 'on site' ELSE 'remote' END AS location FROM nation, (VALUES (0), (1)) v(pos)",
+        "se6_union": "WITH u AS (SELECT c_nationkey AS place, 'a' AS source FROM customer UNION ALL SELECT s_nationkey, 'b' FROM supplier) SELECT place, count(*) AS n, count(DISTINCT source) AS sources FROM u GROUP BY place",
+        "cp21_settings": "SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS INTEGER), 10) AS k, 'light' AS theme FROM events",
         "sx29_counts": f"WITH {parsed}, c AS (SELECT doc_id, seq, type, CAST({count.format('content')} AS INTEGER) AS words FROM q) SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY words DESC, seq) AS INTEGER) AS rank FROM c",
         "jn9_classified": f"WITH {parsed}, k AS ({structure.ORACLE_SQL['sx20_classified']}) SELECT doc_id, seq, q.type AS by_title, k.type, k.confidence FROM q JOIN k USING (doc_id, seq)",
         "jn2_scores": f"""WITH one AS (SELECT text AS answer FROM (WITH {RESUMES_SQL} SELECT * FROM resumes) ORDER BY doc_id LIMIT 1), {POSTINGS_SQL}, {advice._KEYS}, b AS (SELECT item_id, keywords, {advice._PLAIN.format('answer')} AS plain FROM q, one),

@@ -149,6 +149,9 @@ SQL = {
  SELECT *, CASE {' '.join(f"WHEN s_{k} = best THEN '{k}'" for k in TITLE_PATTERNS)} END AS content_type FROM (SELECT *, {_BEST} AS best FROM (SELECT doc_id, seq,
  CASE {' '.join(f"WHEN MATCH(t, '{p}') THEN '{k}'" for k, p in TITLE_PATTERNS.items())} END AS titled, CASE {' '.join(f"WHEN MATCH(t, '{'|'.join(w)}') THEN '{k}'" for k, w in _LONG_WORDS.items())} END AS worded, {_SCORES} FROM (
  SELECT doc_id, seq, lower(trim(title)) AS t, lower(content) AS c, MATCH(lower(content), '(20|19)[0-9]{{2}}[^a-z0-9_].*((20|19)[0-9]{{2}}|present)') AS two FROM {{S}}) x) y) z) q""",
+    "sx16_context": f"""SELECT doc_id, i, CAST(CASE WHEN known AND {_CAPS} THEN 0.9 WHEN {_CAPS} AND MATCH(after, '[0-9]{{4}}|^[•*-]') THEN 0.8 WHEN known AND MATCH(after, '^[•*-]') THEN 0.6 END AS DOUBLE) AS confidence
+ FROM (SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS after, MATCH(lower(line), '{'|'.join(n[0] for n in FAMILIES.values())}') AS known FROM {{L}}) x
+ WHERE line <> '' AND length(line) < 50 AND (known AND {_CAPS} OR {_CAPS} AND MATCH(after, '[0-9]{{4}}|^[•*-]') OR known AND MATCH(after, '^[•*-]'))""",
     "ex3_contact_lines": """SELECT doc_id, i, MATCH(line, '[A-Za-z0-9_.-]+@[A-Za-z0-9_.-]+[.][A-Za-z0-9_]+') AS email, MATCH(line, '[(]?[0-9]{3}[)]?[ .-]?[0-9]{3}[ .-]?[0-9]{4}') AS phone,
  MATCH(lower(line), 'linkedin[.]com|/in/') AS linkedin, MATCH(lower(line), '(https?://)?(www[.])?[a-z0-9-]+[.][a-z]{2,}(/[^ ]*)?') AS website, MATCH(line, '[A-Z][a-zA-Z ]+, *[A-Z]{2}( +[0-9]{5})?([^A-Za-z0-9_]|$)') AS address FROM {L} WHERE line <> '' AND i < 10""",
     "fl_lines": f"""SELECT doc_id, i, length(line) > 10 AS long_enough, MATCH(line, '^[•*-]') AS bullet, MATCH(line, '[.:;]$') AS ended, MATCH(line, '(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* [0-9]{{4}}$') AS month_year,
@@ -203,7 +206,7 @@ def _lines(name: str):
 
 
 _RANGE = "((Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* )?[0-9]{4} *[-–] *(((Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* )?[0-9]{4}|Present|Current)"
-_ON_LINES = ["sx2_headers", "sx9_scores", "sx11_types", "sx13_types", "ex3_contact_lines", "fl_lines", "fl13_rejected", "pj17_tags", "wn10_dropped"]
+_ON_LINES = ["sx16_context", "sx2_headers", "sx9_scores", "sx11_types", "sx13_types", "ex3_contact_lines", "fl_lines", "fl13_rejected", "pj17_tags", "wn10_dropped"]
 QUERIES = {n: _lines(n) for n in _ON_LINES} | {
     "sx5_types": lambda spark, sf_dir: _run("sx5_types", S=_titled(spark, sf_dir)), "sx20_classified": lambda spark, sf_dir: _run("sx20_classified", S=_titled(spark, sf_dir)),
     "ag16_issues": lambda spark, sf_dir: _run("ag16_issues", R=_repaired(spark, sf_dir)), "ag19_quality": lambda spark, sf_dir: _run("ag19_quality", R=_repaired(spark, sf_dir)),
