@@ -306,20 +306,25 @@ def judged(texts: list[str | None], paths: list[str | None], forest: Forest) ->
     return out
 
 
+def _shared(spark: SparkSession, forest: Forest):
+    """The forest's arrays as a broadcast, of bounded size (trees * 2**depth nodes); executors need no class of ours to read it."""
+    return spark.sparkContext.broadcast((forest.feature, forest.threshold, forest.left, forest.right, forest.value))
+
+
 def _path(docs: DataFrame):
     return F.col("source").cast("string") if "source" in docs.columns else F.lit("")
 
 
 def scan(docs: DataFrame, forest: Forest) -> DataFrame:
     """doc_id, findings array<struct<start, end, score, secret>>: spans of characters of all candidates of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(forest)  # of bounded size: trees * 2**depth nodes
+    shared = _shared(docs.sparkSession, forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("secret", pa.string())]))
         for big in batches:
             for b in slices(big):
                 texts = b.column(1).to_pylist()
-                found = judged(texts, b.column(2).to_pylist(), shared.value)
+                found = judged(texts, b.column(2).to_pylist(), Forest(*shared.value))
                 rows = [[{"start": a, "end": e, "score": s, "secret": t[a:e]} for a, e, s in own] for t, own in zip(texts, found, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, kind)], ["doc_id", "findings"])
 
@@ -328,7 +333,7 @@ def scan(docs: DataFrame, forest: Forest) -> DataFrame:
 
 def redact(docs: DataFrame, forest: Forest, mark: str = "[REDACTED]") -> DataFrame:
     """docs with each secret in text replaced; all columns are kept, as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(forest)
+    shared = _shared(docs.sparkSession, forest)
 
     docs = docs.withColumn("text", F.col("text").cast("string"))
     names = docs.columns
@@ -339,7 +344,7 @@ def redact(docs: DataFrame, forest: Forest, mark: str = "[REDACTED]") -> DataFra
             for b in slices(big, at):
                 texts = b.column(at).to_pylist()
                 paths = b.column(path).cast(pa.string()).to_pylist() if path is not None else [""] * len(texts)
-                for k, own in enumerate(judged(texts, paths, shared.value)):
+                for k, own in enumerate(judged(texts, paths, Forest(*shared.value))):
                     for a, e, s in reversed(own):
                         if s >= CUT:
                             texts[k] = texts[k][:a] + mark + texts[k][e:]
