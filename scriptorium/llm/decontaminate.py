@@ -66,7 +66,7 @@ def _tokens(docs: DataFrame) -> DataFrame:
 
 def corpus_counts(docs: DataFrame, wins: DataFrame, limit: int = MOST_BROADCAST) -> DataFrame:
     """term, n: occurrences in all documents of every word of the windows."""
-    terms = written(wins.select(F.explode("words").alias("term")).distinct(), "test-terms")
+    terms = wins.select(F.explode("words").alias("term")).distinct()
     # outer: else a filter on the words' number is inferred, for which they'd be split twice
     every = _tokens(docs).select(F.explode_outer("w").alias("term"))
     if measured_bytes(terms) <= limit:
@@ -112,7 +112,7 @@ def matches(postings: DataFrame, wins: DataFrame, slack: int = 0) -> DataFrame:
     earliest possible word); needs postings with a payload of n + s words around.
     """
     lists = wins.select("phrase", "words", "items", "n", F.size("heads").alias("lists"), F.posexplode("heads").alias("no", "head"))
-    lists = written(lists.select("phrase", "words", "items", "n", "lists", "no", F.col("head.off").alias("off"), F.col("head.term").alias("term")), "lists")
+    lists = lists.select("phrase", "words", "items", "n", "lists", "no", F.col("head.off").alias("off"), F.col("head.term").alias("term"))
     if slack:
         near = postings.join(sized(lists.where("no = 0")), "term")
         low = F.greatest(F.col("pos") - F.col("n") - slack + 1, F.col("first"))
@@ -135,7 +135,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     """doc_id, text_key, n_words, n_hit, items array<string>, spans array<struct<start, n>> of every document."""
     wins = written(windows(items, window), "windows")
     wins = written(with_heads(wins, corpus_counts(docs, wins)), "heads")
-    terms = written(wins.select(F.explode("heads.term").alias("term")).distinct(), "head-terms")
+    terms = wins.select(F.explode("heads.term").alias("term")).distinct()
     postings = index(docs, terms, window)
     found = matches(postings, wins)
     by_doc = found.groupBy("doc_id", "text_key").agg(
@@ -167,7 +167,7 @@ def proximity(docs: DataFrame, items: DataFrame, slack: int, window: int = WINDO
     """doc_id, start, phrase, items where all words of a window lie within window + slack words, in any order."""
     wins = written(windows(items, window), "windows")
     wins = written(with_heads(wins, corpus_counts(docs, wins)), "heads")
-    terms = written(wins.select(F.explode("heads.term").alias("term")).distinct(), "head-terms")
+    terms = wins.select(F.explode("heads.term").alias("term")).distinct()
     postings = index(docs, terms, window + slack)
     return matches(postings, wins, slack).select("doc_id", "start", "phrase", "items")
 

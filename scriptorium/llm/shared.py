@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 MOST_BROADCAST = 32 << 20
 #: Texts are worked on in slices of about this many bytes (a longer text is a slice of its own).
 SLICE = 2_000_000
+#: After so many bytes of texts, free memory of the Python process goes back.
+GIVE_BACK = 16_000_000
 #: Rows of a batch between Spark and Python, where the session keeps Spark's own 10,000: texts are long rows.
 BATCH_ROWS = 1000
 ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -79,7 +81,7 @@ def measured_bytes(df: DataFrame) -> int:
 
 
 def sized(df: DataFrame, limit: int = MOST_BROADCAST) -> DataFrame:
-    """df (a written table) marked for broadcast where its measured bytes stay within limit, else as it is (a shuffled join)."""
+    """df (a written table, or little work on one) marked for broadcast where its measured bytes stay within limit, else as it is (a shuffled join)."""
     return F.broadcast(df) if measured_bytes(df) <= limit else df
 
 
@@ -146,13 +148,16 @@ def slices(batch: pa.RecordBatch, column: int = 1, most: int = SLICE) -> Iterato
 def gathered(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The batches anew, each of about `most` bytes of that column's texts, whatever sizes they came in."""
     held: list[pa.RecordBatch] = []
-    size = 0
+    size = made = 0
     for big in batches:
         for b in slices(big, column, most):
             n = pc.sum(pc.binary_length(b.column(column))).as_py() or 0
             if held and size + n > most:
                 yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, size = [], 0
+                held, size, made = [], 0, made + size
+                if made > GIVE_BACK:
+                    made = 0
+                    give_back()
             if b.num_rows:
                 held.append(b)
                 size += n
