@@ -43,10 +43,10 @@ from scriptorium.llm.shared import gathered, kept, lean, slices, table, text_byt
 
 MAX_BITS = 16
 CHUNK = 256
-BLOCK_IDS = 1 << 18
-MEMO = 1_000_000
+BLOCK_IDS = 1 << 20
+MEMO = 1_200_000
 LONGEST = 64
-SLICE = 8_000_000
+SLICE = 16_000_000
 END_ID = 2
 #: How a tokenizer's file says that A-Z are lowered, and that letters part from what follows (fixed values).
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
