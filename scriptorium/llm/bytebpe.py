@@ -83,7 +83,7 @@ def serialised_model(ranks: dict[bytes, int]) -> bytes:
 class Coder(Memo):
     """Ids of cuts of texts, with the memo of tokenids."""
 
-    most = 200_000
+    most = 150_000
 
     def __init__(self, ranks_file: str, pattern: str):
         super().__init__()
