@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.operators.sections import sections
-from scriptorium.sources.tables import DAMAGED_SQL, RESUMES_SQL, damaged, resumes
+from scriptorium.sources.tables import DAMAGED_SQL, damaged, resumes
 
 # Header families and their wordings, in order.
 FAMILIES = {
