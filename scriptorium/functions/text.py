@@ -16,6 +16,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^A-Za-z0-9_]+"), "")
 
 
+def holds(low: Column, word: str) -> Column:
+    """`word` (small letters) is among words(): it is searched without splitting the text, and its borders only where it occurs."""
+    return low.contains(word) & low.rlike(f"{word}(?<![A-Za-z0-9_]{word})(?![A-Za-z0-9_])")
+
+
 def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[ \t\n\r]+", " "))
 

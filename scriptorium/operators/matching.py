@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import score, words
+from scriptorium.functions.text import holds, score, words
 from scriptorium.sources.tables import RESUMES_SQL, read, resumes
 
 STOP = ["the", "and", "for", "with", "that", "this", "are", "was", "from", "you", "your", "our", "have", "has", "will", "not", "but", "all", "can"]
@@ -39,9 +39,10 @@ def pairs(texts: DataFrame, asked: DataFrame, doc: str = "doc_id", item: str = "
     return both.select(doc, item, F.array_join("present", ",").alias("present"), F.array_join(F.array_except("all", "present"), ",").alias("missing"), score(F.size("present"), F.size("all")).alias("score"))
 
 
-def skill_columns(text) -> list:
-    own = words(text)
-    return [F.array_join(F.array_sort(F.filter(F.array(*[F.lit(s) for s in names]), lambda s: F.array_contains(own, F.lower(s)))), ",").alias(kind) for kind, names in SKILLS.items()]
+def skill_columns(text: Column) -> list:
+    """By kind, the skills that a text names, sorted."""
+    low = F.lower(text)
+    return [F.concat_ws(",", *[F.when(holds(low, s.lower()), F.lit(s)) for s in sorted(names)]).alias(kind) for kind, names in SKILLS.items()]
 
 
 def ag2_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
