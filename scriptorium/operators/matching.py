@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,11 +61,12 @@ def ag18_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resumes(spark, sf_dir).select("doc_id", *skill_columns(F.col("text")))
 
 
-def missing_skills(text, top: int = 5) -> list:
+def missing_skills(text: Column, top: int = 5) -> list:
     """top_missing and more: the first `top` skills that a text lacks, and how many others it lacks."""
-    own = words(text)
-    missing = F.filter(F.array(*[F.lit(s) for names in SKILLS.values() for s in names]), lambda s: ~F.array_contains(own, F.lower(s)))
-    return [F.array_join(F.slice(missing, 1, top), ",").alias("top_missing"), F.greatest(F.size(missing) - top, F.lit(0)).alias("more")]
+    low = F.lower(text)
+    lacks = [(s, ~holds(low, s.lower())) for names in SKILLS.values() for s in names]
+    n = reduce(add, [F.coalesce(x.cast("int"), F.lit(0)) for _, x in lacks])
+    return [F.substring_index(F.concat_ws(",", *[F.when(x, F.lit(s)) for s, x in lacks]), ",", top).alias("top_missing"), F.greatest(n - top, F.lit(0)).alias("more")]
 
 
 def so6_missing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,3 +51,18 @@ def test_five_missing_skills_and_the_rest(spark):
     df = spark.createDataFrame([(1, "none of them"), (2, "Spark SQL Pandas Java Python"), (3, "")], "k int, t string")
     got = {r.k: (r.top_missing, r.more) for r in df.select("k", *missing_skills(df["t"])).collect()}
     assert got == {1: ("Spark,SQL,Pandas,Java,Python", 4), 2: ("Scala,Docker,Kubernetes,Linux", 0), 3: ("Spark,SQL,Pandas,Java,Python", 4)}
+
+
+def test_skills_are_whole_words_and_texts_are_not_split(spark):
+    import re
+
+    from scriptorium.operators import matching
+
+    texts = ["java", "JavaScript, xjava java_ 9java", "a-JAVA.b javajava", "java\r", "javajava java", "éjavaé\nSQL\tPANDAS", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: (r.data, r.languages, r.platform) for r in df.select("doc_id", *matching.skill_columns(df["text"])).collect()}
+    named = lambda t, s: s.lower() in re.split(r"[^A-Za-z0-9_]+", (t or "").lower())
+    assert got == {i: tuple(",".join(sorted(s for s in names if named(t, s))) for names in matching.SKILLS.values()) for i, t in enumerate(texts)}
+    for name in ("ag18_skills", "so6_missing"):
+        # one split into lines makes the fixture; a split into words ran once for every skill
+        assert matching.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
