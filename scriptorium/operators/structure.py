@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.operators.sections import sections
@@ -62,12 +62,53 @@ QUALITY_HEADERS = ["education", "experience", "skills", "summary", "profile", "c
 
 def _dialect(sql: str, duck: bool) -> str:
     """MATCH(x, p): a regular expression is found; HITS(x, p): how often."""
+    if not duck:
+        sql = re.sub(r"MATCH\((\w+), '([^']*)'\)", lambda m: _quick(m[1], m[2]), sql)
     return sql.replace("MATCH(", "regexp_matches(" if duck else "regexp_like(").replace("HITS(", "hits(" if duck else "regexp_count(")
 
 
+def _any_of(names: list[str]) -> str:
+    """A pattern found where any of the names is: three classes first, then the names by first letter."""
+    names = sorted({n for n in names if not any(o != n and o in n for o in names)})
+    ahead = "".join(f"[{''.join(sorted({n[i] for n in names}))}]" for i in range(min(3, *map(len, names)) if len(names) > 1 else 0))
+    return f"(?={ahead})(?:{'|'.join(f'{a}(?:{"|".join(n[1:] for n in names if n[0] == a)})' for a in sorted({n[0] for n in names}))})"
+
+
+#: Patterns and what gives the same rows sooner: no alternative is tried where its first sign is missing.
+_SAME = {
+    ":$": "endswith({x}, ':')",
+    "(^|[^A-Za-z0-9_])[0-9]{4}([^A-Za-z0-9_]|$)": "regexp_like({x}, '[0-9]{{4}}(?<![A-Za-z0-9_][0-9]{{4}})(?![A-Za-z0-9_])')",
+    "@|http|www|[+][0-9]|[(][0-9]{3}[)]|[0-9]{3}-[0-9]{3}-[0-9]{4}": "contains({x}, '@') OR regexp_like({x}, 'http') OR contains({x}, 'www') OR regexp_like({x}, '[+(0-9](?:(?<=[+])[0-9]|(?<=[(])[0-9]{{3}}[)]|(?<=[0-9])[0-9]{{2}}-[0-9]{{3}}-[0-9]{{4}})')",
+}
+
+
+def _quick(x: str, pattern: str) -> str:
+    """What Spark runs for MATCH(x, pattern), with the same rows: words are searched as bytes, and
+    their borders looked at only where they occur; lists of words are grouped by first letter; counted words are taken from the start of the line only, each once."""
+    plain = lambda p: re.fullmatch(r"[a-z -]+([|][a-z -]+)*", p)
+    head, tail = _WORD("\n").split("\n")
+    worded = re.fullmatch(f"{re.escape(head)}(.*){re.escape(tail)}", pattern)
+    if worded and plain(worded[1]):
+        names = worded[1].split("|")
+        names = [n for n in names if not any(o != n and re.search(_WORD(o), n) for o in names)]  # a name that holds another adds nothing
+        return "(" + " OR ".join(f"contains({x}, '{n}') AND regexp_like({x}, '{n}(?<![a-z0-9_]{n})(?![a-z0-9_])')" for n in names) + ")"
+    if plain(pattern):
+        names = pattern.split("|")
+        return f"regexp_like({x}, '{_any_of(names)}')"
+    if pattern in _SAME:
+        return f"({_SAME[pattern].format(x=x)})"
+    if re.fullmatch(r"\[\^ \]\+( \+\[\^ \]\+)* \+\[\^ \]", pattern):
+        pattern = "^ *+" + pattern.replace("+", "++")
+    return f"regexp_like({x}, '{pattern}')"
+
+
 def _run(name: str, **tables: DataFrame) -> DataFrame:
+    return _filled(SQL[name], **tables)
+
+
+def _filled(sql: str, **tables: DataFrame) -> DataFrame:
     spark = next(iter(tables.values())).sparkSession
-    sql = _dialect(SQL[name], False).replace("{", "{{").replace("}", "}}")  # braces of patterns
+    sql = _dialect(sql, False).replace("{", "{{").replace("}", "}}")  # braces of patterns
     for t in tables:
         sql = sql.replace(f"{{{{{t}}}}}", f"{{{t}}}")
     return spark.sql(sql, **tables)
@@ -92,6 +133,11 @@ def _first_family() -> str:
     return f"CASE {' '.join(each)} ELSE 0 END"
 
 
+def _where_named(found: str) -> str:
+    """Family scores, which are 0 where no name of any family occurs, worked out only elsewhere."""
+    return f"CASE WHEN MATCH(t, '{'|'.join(n for names in FAMILIES.values() for n in names)}') THEN {found} ELSE 0 END"
+
+
 def _sum(parts: list[str]) -> str:
     return " + ".join(f"({p})" for p in parts)
 
@@ -126,19 +172,24 @@ _SCORES = ", ".join(
 )
 _BEST = f"greatest({', '.join(f's_{k}' for k in TITLE_PATTERNS)})"
 _LONG_WORDS = {k: [w for w in p.replace("|", " ").split() if len(w) > 3] for k, p in TITLE_PATTERNS.items()}
+# What a line by itself gives to sx9_scores.
+_NONE = f"line = '' OR line IN ({', '.join(f"'{w}', '{w.title()}', '{w.lower()}'" for w in NO_HEADERS)})"
+_RAISED = f"""{_first_family()}
+ + CASE WHEN {_CAPS} AND length(line) > 3 AND {_FEW} THEN 3.0 WHEN {_TITLE} AND length(line) > 3 AND {_FEW} THEN 2.0 ELSE 0 END + CASE WHEN MATCH(line, ':$') THEN 1.5 ELSE 0 END
+ + CASE WHEN length(line) < 20 THEN 1.5 WHEN length(line) < 30 THEN 0.75 ELSE 0 END"""
+_LOWERED = "- CASE WHEN MATCH(line, '^[0-9]+ *[.]|^[(][0-9]+[)]') THEN 2.0 ELSE 0 END - CASE WHEN MATCH(line, '@|http|www|[+][0-9]|[(][0-9]{3}[)]|[0-9]{3}-[0-9]{3}-[0-9]{4}') THEN 2.0 ELSE 0 END"
+_BULLET, _DATES, _YEAR = "^[•*-]", "[0-9]{4} *(-|to) *([0-9]{4}|present|current)", "(^|[^A-Za-z0-9_])[0-9]{4}([^A-Za-z0-9_]|$)"
 SQL = {
     "sx2_headers": f"""SELECT doc_id, i, CAST(least(5.0, {_sum([_family(n) for n in FAMILIES.values()])}
  + CASE WHEN {_CAPS} AND {_FEW} THEN 2.0 WHEN {_TITLE} AND {_FEW} THEN 1.5 ELSE 0 END + CASE WHEN MATCH(line, '^[A-Za-z0-9_ ]+:$') THEN 1.5 ELSE 0 END
  + CASE WHEN length(line) < 25 AND NOT MATCH(line, '[^ ]+ +[^ ]+ +[^ ]+ +[^ ]') THEN 1.0 ELSE 0 END) AS DOUBLE) AS score FROM (SELECT *, lower(line) AS t FROM {{L}}) x WHERE line <> ''""",
     "sx9_scores": f"""SELECT doc_id, i, score, score >= 3 AND score = max(score) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS peak FROM (
- SELECT doc_id, i, line, CAST(CASE WHEN line = '' OR line IN ({', '.join(f"'{w}', '{w.title()}', '{w.lower()}'" for w in NO_HEADERS)}) THEN 0 ELSE {_first_family()}
- + CASE WHEN {_CAPS} AND length(line) > 3 AND {_FEW} THEN 3.0 WHEN {_TITLE} AND length(line) > 3 AND {_FEW} THEN 2.0 ELSE 0 END + CASE WHEN MATCH(line, ':$') THEN 1.5 ELSE 0 END
- + CASE WHEN length(line) < 20 THEN 1.5 WHEN length(line) < 30 THEN 0.75 ELSE 0 END + CASE WHEN i = 0 OR before = '' THEN 1.0 ELSE 0 END + CASE WHEN before = '' AND after = '' THEN 2.0 ELSE 0 END
- + CASE WHEN MATCH(after, '^[•*-]') THEN 1.5 ELSE 0 END + CASE WHEN MATCH(lower(after), '[0-9]{{4}} *(-|to) *([0-9]{{4}}|present|current)') THEN 1.5 ELSE 0 END
- - CASE WHEN MATCH(line, '^[0-9]+ *[.]|^[(][0-9]+[)]') THEN 2.0 ELSE 0 END - CASE WHEN MATCH(line, '@|http|www|[+][0-9]|[(][0-9]{{3}}[)]|[0-9]{{3}}-[0-9]{{3}}-[0-9]{{4}}') THEN 2.0 ELSE 0 END
+ SELECT doc_id, i, line, CAST(CASE WHEN {_NONE} THEN 0 ELSE {_RAISED} + CASE WHEN i = 0 OR before = '' THEN 1.0 ELSE 0 END + CASE WHEN before = '' AND after = '' THEN 2.0 ELSE 0 END
+ + CASE WHEN MATCH(after, '{_BULLET}') THEN 1.5 ELSE 0 END + CASE WHEN MATCH(lower(after), '{_DATES}') THEN 1.5 ELSE 0 END
+ {_LOWERED}
  - CASE WHEN before IS NOT NULL AND after IS NOT NULL AND (year_before = 1 OR bullet_after = 1) AND MATCH(lower(line), '{'|'.join(JOB_TITLES).lower()}') THEN 3.0 ELSE 0 END END AS DOUBLE) AS score
  FROM (SELECT doc_id, i, line, lower(line) AS t, lag(line) OVER (PARTITION BY doc_id ORDER BY i) AS before, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS after,
-  max(CASE WHEN MATCH(line, '(^|[^A-Za-z0-9_])[0-9]{{4}}([^A-Za-z0-9_]|$)') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS year_before,
+  max(CASE WHEN MATCH(line, '{_YEAR}') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS year_before,
   max(CASE WHEN MATCH(line, '^•') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS bullet_after FROM {{L}}) x) y""",
     "sx11_types": "SELECT doc_id, i, CASE " + " ".join(f"WHEN MATCH(u, '{k}') OR contains('{k}', u) THEN '{v}'" for k, v in HEADER_TYPES.items()) + f" ELSE 'other' END AS type FROM (SELECT *, upper(line) AS u FROM {{L}}) x WHERE line <> '' AND {_CAPS} AND NOT MATCH(line, '[^ -~]') AND length(line) <= 40",
     "sx13_types": f"SELECT doc_id, i, {_type_of('n')} FROM (SELECT doc_id, i, trim(regexp_replace(lower(line), '[^a-z0-9_ ]', '' /*g*/)) AS n FROM {{L}} WHERE line <> '' AND length(line) <= 60) x",
@@ -169,12 +220,48 @@ _QUALITY = lambda c: f"(CAST(least(length({c}) / 1000.0, 10) AS DOUBLE) + least(
 SQL["ag19_quality"] = f"""SELECT doc_id, CAST(round(greatest(one, two), 6) AS DOUBLE) AS score, CASE WHEN two > one THEN 'repaired' ELSE 'text' END AS candidate FROM (SELECT doc_id, {_QUALITY('text')} AS one, {_QUALITY('repaired')} AS two FROM {{R}}) x"""
 
 
+#: sx9_scores with every pattern once for each line, before the windows, which then move marks and no text.
+_MARKS = f"""SELECT *, CASE WHEN {_NONE} THEN NULL ELSE CAST({_RAISED.replace(_first_family(), _where_named(_first_family()))} {_LOWERED} AS DOUBLE) END AS own, line = '' AS blank, MATCH(line, '{_BULLET}') AS bullet,
+ MATCH(line, '{_YEAR}') AS year, MATCH(t, '{_DATES}') AS dates, MATCH(line, '^•') AS dot, MATCH(t, '{'|'.join(JOB_TITLES).lower()}') AS title FROM (SELECT *, lower(line) AS t FROM {{L}}) x"""
+_ON_MARKS = """SELECT *, score >= 3 AND score = max(score) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS peak FROM (
+ SELECT *, CASE WHEN own IS NULL THEN 0D ELSE own + CASE WHEN i = 0 OR blank_before THEN 1D ELSE 0D END + CASE WHEN blank_before AND blank_after THEN 2D ELSE 0D END + CASE WHEN bullet_after THEN 1.5D ELSE 0D END
+ + CASE WHEN dates_after THEN 1.5D ELSE 0D END - CASE WHEN blank_before IS NOT NULL AND blank_after IS NOT NULL AND (year_before OR dot_after) AND title THEN 3D ELSE 0D END END AS score
+ FROM (SELECT *, lag(blank) OVER w AS blank_before, lead(blank) OVER w AS blank_after, lead(bullet) OVER w AS bullet_after, lead(dates) OVER w AS dates_after,
+  max(year) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS year_before, max(dot) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS dot_after
+  FROM {M} WINDOW w AS (PARTITION BY doc_id ORDER BY i)) x) y"""
+
+
+def header_scores(each: DataFrame, **marks: Column) -> DataFrame:
+    """doc_id, i, score, peak of lines, and marks of a line that go with it."""
+    marked = _filled(_MARKS, L=each).withColumns(marks).drop("line", "t")
+    return _filled(_ON_MARKS, M=marked).select("doc_id", "i", "score", "peak", *marks)
+
+
+def sx2_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _sum([_family(n) for n in FAMILIES.values()])
+    return _filled(SQL["sx2_headers"].replace(found, _where_named(found)), L=lines(damaged(spark, sf_dir)))
+
+
 def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptorium.operators.chains import LIBRARY
 
     return damaged(spark, sf_dir).select("doc_id", "text", LIBRARY.apply(F.col("text")).alias("repaired"))
 
 
+def ag16_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """issue, before, after, grown: all issues from one pass over the texts."""
+    count = lambda c, p: F.sum(F.regexp_count(c, F.lit(p)))
+    sums = [f(c, p).alias(f"{c}_{k}") for k, p in ISSUES.items() for f, c in ((count, "text"), (count, "repaired"))]
+    totals = _repaired(spark, sf_dir).agg(*sums, (F.sum(F.length("repaired")) - F.sum(F.length("text"))).alias("grown"))
+    each = [F.struct(F.lit(k).alias("issue"), F.col(f"text_{k}").alias("before"), F.col(f"repaired_{k}").alias("after"), "grown") for k in ISSUES]
+    return totals.select(F.inline(F.array(*each)))
+
+
+def ag19_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = _repaired(spark, sf_dir).withColumns({f"low_{c}": F.lower(c) for c in ("text", "repaired")})
+    return _filled(re.sub(r"lower\((\w+)\)", r"low_\1", SQL["ag19_quality"]), R=both)
+
+
 def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections(resumes(spark, sf_dir)).select("doc_id", "seq", F.coalesce("title", F.lit("")).alias("title"), "content")
 
@@ -209,8 +296,8 @@ _RANGE = "((Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* )?[0-9]{4} *[
 _ON_LINES = ["sx16_context", "sx2_headers", "sx9_scores", "sx11_types", "sx13_types", "ex3_contact_lines", "fl_lines", "fl13_rejected", "pj17_tags", "wn10_dropped"]
 QUERIES = {n: _lines(n) for n in _ON_LINES} | {
     "sx5_types": lambda spark, sf_dir: _run("sx5_types", S=_titled(spark, sf_dir)), "sx20_classified": lambda spark, sf_dir: _run("sx20_classified", S=_titled(spark, sf_dir)),
-    "ag16_issues": lambda spark, sf_dir: _run("ag16_issues", R=_repaired(spark, sf_dir)), "ag19_quality": lambda spark, sf_dir: _run("ag19_quality", R=_repaired(spark, sf_dir)),
-    "ex7_ranges": ex7_ranges, "pj12_highlighted": pj12_highlighted, "se4_shared": se4_shared,
+    "ag16_issues": ag16_issues, "ag19_quality": ag19_quality,
+    "sx2_headers": sx2_headers, "sx9_scores": lambda spark, sf_dir: header_scores(lines(damaged(spark, sf_dir))), "ex7_ranges": ex7_ranges, "pj12_highlighted": pj12_highlighted, "se4_shared": se4_shared,
 }
 
 
