@@ -102,12 +102,10 @@ def sx29_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sx19_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first way that finds more than one section in a page: headers of four types, header scores, else thirds; and how many it finds."""
-    d = damaged(spark, sf_dir)
-    lines_ = structure.lines(d)
-    low = F.lower(F.regexp_replace("line", "[ :]+$", ""))
-    typed = lines_.groupBy("doc_id").agg(F.sum(low.rlike(f"^({'|'.join(FOUR.values())})$").cast("int")).alias("typed"))
-    peaks = structure.QUERIES["sx9_scores"](spark, sf_dir).groupBy("doc_id").agg(F.sum(F.col("peak").cast("int")).alias("peaks"))
-    both = typed.join(peaks, "doc_id")
+    headers = [w for p in FOUR.values() for w in p.replace("degrees?", "degree|degrees").split("|")]
+    typed = F.lower(F.rtrim("line", F.lit(" :"))).isin(headers)
+    scored = structure.header_scores(structure.lines(damaged(spark, sf_dir)), typed=typed)
+    both = scored.groupBy("doc_id").agg(*[F.sum(F.col(c).cast("int")).alias(n) for c, n in (("typed", "typed"), ("peak", "peaks"))]).where("doc_id IS NOT NULL")
     tier = F.when(F.col("typed") > 1, "pattern").when(F.col("peaks") > 1, "format").otherwise("default")
     return both.select("doc_id", tier.alias("tier"), F.when(F.col("typed") > 1, F.col("typed")).when(F.col("peaks") > 1, F.col("peaks")).otherwise(3).alias("n"))
 
