@@ -73,13 +73,13 @@ LIBRARY = (
     .add("month_year_newline", "dates", rf"({_MONTH})\s+([0-9]{{4}})\s*\n\s*-\s*({_MONTH})\s*\n?\s*([0-9]{{4}})", "$1 $2 - $3 $4")
     .add("no_spaces", "dates", rf"({_MONTH})([0-9]{{4}})-({_MONTH})([0-9]{{4}})", "$1 $2 - $3 $4")
     .add("dash_prefix", "dates", rf"^-\s*({_MONTH})\s+([0-9]{{4}})", " - $1 $2")
-    .add("dash_prefix_inline", "dates", rf"\n-\s*({_MONTH})\s+([0-9]{{4}})", "\n - $1 $2")
+    .add("dash_prefix_inline", "dates", rf"\n-\s*({_MONTH})\s+([0-9]{{4}})", "\n - $1 $2", "\n-")
     .add("newline_in_range", "dates", rf"({_MONTH})\s+([0-9]{{4}})\s*-\s*({_MONTH})\s*\n\s*([0-9]{{4}})", "$1 $2 - $3 $4")
     .add("sept", "dates", f"{_B}Sept{_E}", "$1Sep$2", "Sept")
     .add("month_year_glued", "dates", rf"{_B}({_MONTH})([0-9]{{4}}){_E}", "$1$2 $3$4")
     .add("dash_spacing", "dates", rf"({_MONTH})\s+([0-9]{{4}}){_DASH}({_MONTH})\s+([0-9]{{4}})", "$1 $2 - $3 $4")
     .add("year_range", "dates", rf"([0-9]{{4}}){_DASH}([0-9]{{4}})", "$1 - $2")
-    .add("present", "dates", rf"({_MONTH})\s+([0-9]{{4}}){_DASH}(Present|Current)", "$1 $2 - $3")
+    .add("present", "dates", rf"({_MONTH})\s+([0-9]{{4}}){_DASH}(Present|Current)", "$1 $2 - $3", "ent")
     .add("state_verb_past", "locations", f"({_STATE})([A-Z][a-z]+ed){_E}", "$1\n$2$3")
     .add("state_verb_ing", "locations", f"({_STATE})([A-Z][a-z]+ing){_E}", "$1\n$2$3")
     .add("city_verb", "locations", f"({_CITY})([A-Z][a-z]+)", "$1\n$2")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -12,6 +13,24 @@ from scriptorium.functions.text import capitalised, squeeze, tokens
 from scriptorium.sources.tables import RESUMES_SQL, read, resumes
 
 
+_BORDER = "(^|[^A-Za-z0-9_])"
+
+
+def _quick(pattern: str, replacement: str) -> str:
+    """The same matches for Java, sooner: a list of names is tried only where a letter begins one of them; and a leading
+    word, which the replacement keeps, is not read again from each of its letters (the match ends with a whole word, so the
+    next one can't begin inside it)."""
+    word = "([A-Za-z0-9_]+)"
+    if re.match(re.escape(word) + r"(@|\\s)", pattern) and pattern.endswith(word) and not re.search(r"[|]|\\[1-9]", pattern) and replacement.startswith("$1") and replacement.count("$1") == 1:
+        pattern = "([A-Za-z0-9_])" + pattern.removeprefix(word)
+
+    def begun(m: re.Match) -> str:
+        names = m[1].split("|")
+        return f"((?=[{''.join(sorted({n[0] for n in names}))}])(?:{m[1]}))" if len(names) > 3 else m[0]
+
+    return re.sub(r"(?<![\\\[])\(((?:[A-Za-z][A-Za-z .[\]]*[|])+[A-Za-z][A-Za-z .[\]]*)\)", begun, pattern)
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
@@ -21,11 +40,17 @@ class Rule:
     needs: str = ""  # what every match holds: a text without it isn't searched
 
     def on(self, text: Column) -> Column:
-        rewritten = lambda t: F.regexp_replace(t, self.pattern, self.replacement)
-        if not self.needs:
+        rewritten = lambda t: F.regexp_replace(t, _quick(self.pattern, self.replacement), self.replacement)
+        inner = self.pattern.removeprefix(_BORDER)
+        if inner != self.pattern and not re.search(r"\\[1-9]", inner) and _quick(inner, "") != inner:
+            # every match holds one of the rest of the pattern, which is found sooner
+            able = lambda t: t.rlike(_quick(inner, ""))
+        elif self.needs:
+            able = lambda t: t.contains(self.needs)
+        else:
             return rewritten(text)
         # as an array of one, the text is named and so is evaluated once
-        return F.transform(F.array(text), lambda t: F.when(t.contains(self.needs), rewritten(t)).otherwise(t))[0]
+        return F.transform(F.array(text), lambda t: F.when(able(t), rewritten(t)).otherwise(t))[0]
 
 
 @dataclass
