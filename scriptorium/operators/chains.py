@@ -67,27 +67,49 @@ _MONTH = _longest([*MONTHS, *(m[:3] for m in MONTHS), "Sept"])
 _B, _E = "(^|[^A-Za-z0-9_])", r"([^A-Za-z0-9_]|\z)"  # word borders that take part in the match
 _DASH = "[ \t\n]*[-–—][ \t\n]*"
 
+# What finds matches sooner starts with a sign that is rare in texts; names are looked at from there.  What a match
+# takes is no border or word of the next one, so a Sept, date or @ that follows at once is taken along unchanged.
+_W = "[A-Za-z0-9_]"
+_GLUED = f"(?:{_MONTH})[0-9]{{4}}"
+
+
+def _begun(names: str) -> str:
+    """The names, tried only where a letter begins one of them."""
+    return f"(?=[{''.join(sorted({n[0] for n in names.split('|')}))}])(?:{names})"
+
+
+def _after_dash(found: str) -> tuple[tuple[str, str], ...]:
+    return tuple((dash, rf"{dash}(?<=[0-9 \t\n]{dash})[ \t\n]*+{found}") for dash in "-–—")
+
+
+_VERB_AFTER = (("", rf"[A-Z](?<=[a-z][A-Z])(?<=(?:{_STATE}|{_CITY})[A-Z])[a-z]"),)
+
+
+def _after_state(ending: str) -> tuple[str, str]:
+    return rf"[A-Z](?<=[a-z][A-Z])(?<=(?:{_STATE})[A-Z])[a-z]+{ending}(?!{_W})", "\n$0"
+
+
 #: Dates, locations, contacts and headers: the standard library.
 LIBRARY = (
     RuleSet()
-    .add("month_year_newline", "dates", rf"({_MONTH})\s+([0-9]{{4}})\s*\n\s*-\s*({_MONTH})\s*\n?\s*([0-9]{{4}})", "$1 $2 - $3 $4")
-    .add("no_spaces", "dates", rf"({_MONTH})([0-9]{{4}})-({_MONTH})([0-9]{{4}})", "$1 $2 - $3 $4")
-    .add("dash_prefix", "dates", rf"^-\s*({_MONTH})\s+([0-9]{{4}})", " - $1 $2")
+    .add("month_year_newline", "dates", rf"({_MONTH})\s+([0-9]{{4}})\s*\n\s*-\s*({_MONTH})\s*\n?\s*([0-9]{{4}})", "$1 $2 - $3 $4", near=(("-", rf"\n\s*+-\s*+{_begun(_MONTH)}"),))
+    .add("no_spaces", "dates", rf"({_MONTH})([0-9]{{4}})-({_MONTH})([0-9]{{4}})", "$1 $2 - $3 $4", near=(("-", rf"-(?<=[a-z][0-9]{{4}}-){_begun(_MONTH)}[0-9]"),))
+    .add("dash_prefix", "dates", rf"^-\s*({_MONTH})\s+([0-9]{{4}})", " - $1 $2", near=(("-", r"\A-"),))
     .add("dash_prefix_inline", "dates", rf"\n-\s*({_MONTH})\s+([0-9]{{4}})", "\n - $1 $2", "\n-")
-    .add("newline_in_range", "dates", rf"({_MONTH})\s+([0-9]{{4}})\s*-\s*({_MONTH})\s*\n\s*([0-9]{{4}})", "$1 $2 - $3 $4")
-    .add("sept", "dates", f"{_B}Sept{_E}", "$1Sep$2", "Sept")
-    .add("month_year_glued", "dates", rf"{_B}({_MONTH})([0-9]{{4}}){_E}", "$1$2 $3$4")
-    .add("dash_spacing", "dates", rf"({_MONTH})\s+([0-9]{{4}}){_DASH}({_MONTH})\s+([0-9]{{4}})", "$1 $2 - $3 $4")
-    .add("year_range", "dates", rf"([0-9]{{4}}){_DASH}([0-9]{{4}})", "$1 - $2")
-    .add("present", "dates", rf"({_MONTH})\s+([0-9]{{4}}){_DASH}(Present|Current)", "$1 $2 - $3", "ent")
-    .add("state_verb_past", "locations", f"({_STATE})([A-Z][a-z]+ed){_E}", "$1\n$2$3")
-    .add("state_verb_ing", "locations", f"({_STATE})([A-Z][a-z]+ing){_E}", "$1\n$2$3")
-    .add("city_verb", "locations", f"({_CITY})([A-Z][a-z]+)", "$1\n$2")
-    .add("space_before_at", "contact", r"([A-Za-z0-9_]+)\s+@([A-Za-z0-9_]+)", "$1@$2", "@")
-    .add("space_after_at", "contact", r"([A-Za-z0-9_]+)@\s+([A-Za-z0-9_]+)", "$1@$2", "@")
-    .add("space_around_at", "contact", r"([A-Za-z0-9_]+)\s+@\s+([A-Za-z0-9_]+)", "$1@$2", "@")
-    .add("embedded_skills", "headers", "([a-z])SKILLS", "$1\n\nSKILLS", "SKILLS")
-    .add("embedded_experience", "headers", "([a-z])EXPERIENCE", "$1\n\nEXPERIENCE", "EXPERIENCE")
+    .add("newline_in_range", "dates", rf"({_MONTH})\s+([0-9]{{4}})\s*-\s*({_MONTH})\s*\n\s*([0-9]{{4}})", "$1 $2 - $3 $4", near=(("-", r"\n\s*+[0-9]{4}"),))
+    .add("sept", "dates", f"{_B}Sept{_E}", "$1Sep$2", "Sept", sooner=(f"Sept(?<!{_W}Sept)(?!{_W})([^A-Za-z0-9_]Sept(?!{_W}))?+", "Sep$1"))
+    .add("month_year_glued", "dates", rf"{_B}({_MONTH})([0-9]{{4}}){_E}", "$1$2 $3$4", sooner=(f"([0-9]{{4}})(?<=[a-z][0-9]{{4}})(?<=(?<!{_W}){_GLUED})(?!{_W})([^A-Za-z0-9_]{_GLUED}(?!{_W}))?+", " $1$2"))
+    .add("dash_spacing", "dates", rf"({_MONTH})\s+([0-9]{{4}}){_DASH}({_MONTH})\s+([0-9]{{4}})", "$1 $2 - $3 $4", near=_after_dash(rf"{_begun(_MONTH)}\s"))
+    .add("year_range", "dates", rf"([0-9]{{4}}){_DASH}([0-9]{{4}})", "$1 - $2", near=_after_dash("[0-9]{4}"))
+    .add("present", "dates", rf"({_MONTH})\s+([0-9]{{4}}){_DASH}(Present|Current)", "$1 $2 - $3", "ent", _after_dash("(?:Present|Current)"))
+    .add("state_verb_past", "locations", f"({_STATE})([A-Z][a-z]+ed){_E}", "$1\n$2$3", near=_VERB_AFTER, sooner=_after_state("ed"))
+    .add("state_verb_ing", "locations", f"({_STATE})([A-Z][a-z]+ing){_E}", "$1\n$2$3", near=_VERB_AFTER, sooner=_after_state("ing"))
+    .add("city_verb", "locations", f"({_CITY})([A-Z][a-z]+)", "$1\n$2", near=_VERB_AFTER)
+    .add("space_before_at", "contact", r"([A-Za-z0-9_]+)\s+@([A-Za-z0-9_]+)", "$1@$2", near=(("@", rf"@(?<=\s@){_W}"),))
+    .add("space_after_at", "contact", r"([A-Za-z0-9_]+)@\s+([A-Za-z0-9_]+)", "$1@$2", near=(("@", rf"@(?<={_W}@)\s"),), sooner=(rf"@(?<={_W}@)\s++({_W}++@?+)", "@$1"))
+    .add("space_around_at", "contact", r"([A-Za-z0-9_]+)\s+@\s+([A-Za-z0-9_]+)", "$1@$2", near=(("@", r"@(?<=\s@)\s"),))
+    .add("embedded_skills", "headers", "([a-z])SKILLS", "$1\n\nSKILLS", "SKILLS", sooner=("SKILLS(?<=[a-z]SKILLS)", "\n\nSKILLS"))
+    .add("embedded_experience", "headers", "([a-z])EXPERIENCE", "$1\n\nEXPERIENCE", "EXPERIENCE", sooner=("EXPERIENCE(?<=[a-z]EXPERIENCE)", "\n\nEXPERIENCE"))
     .add("period_skills", "headers", "[.]SKILLS", ".\n\nSKILLS", ".SKILLS")
     .add("period_experience", "headers", "[.]EXPERIENCE", ".\n\nEXPERIENCE", ".EXPERIENCE")
 )

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,19 +40,39 @@ class Rule:
     pattern: str  # RE2 and Java alike: no look-around
     replacement: str  # with $1, $2
     needs: str = ""  # what every match holds: a text without it isn't searched
+    near: tuple[tuple[str, str], ...] = ()  # Java only: a text with a match holds one of the signs ('' is in all), and what is found there sooner
+    sooner: tuple[str, str] = ()  # Java only: pattern and replacement that give the same text sooner
 
     def on(self, text: Column) -> Column:
-        rewritten = lambda t: F.regexp_replace(t, _quick(self.pattern, self.replacement), self.replacement)
+        return _where(self.near, self._rewritten, text)
+
+    def _rewritten(self, text: Column) -> Column:
+        rewritten = lambda t: F.regexp_replace(t, *(self.sooner or (_quick(self.pattern, self.replacement), self.replacement)))
         inner = self.pattern.removeprefix(_BORDER)
-        if inner != self.pattern and not re.search(r"\\[1-9]", inner) and _quick(inner, "") != inner:
+        if self.needs and (self.near or self.sooner):
+            able = lambda t: t.contains(self.needs)
+        elif self.near or self.sooner:
+            return rewritten(text)
+        elif inner != self.pattern and not re.search(r"\\[1-9]", inner) and _quick(inner, "") != inner:
             # every match holds one of the rest of the pattern, which is found sooner
             able = lambda t: t.rlike(_quick(inner, ""))
         elif self.needs:
             able = lambda t: t.contains(self.needs)
         else:
             return rewritten(text)
-        # as an array of one, the text is named and so is evaluated once
-        return F.transform(F.array(text), lambda t: F.when(able(t), rewritten(t)).otherwise(t))[0]
+        return _named(text, lambda t: F.when(able(t), rewritten(t)).otherwise(t))
+
+
+def _named(text: Column, f: Callable[[Column], Column]) -> Column:
+    """As an array of one, the text is named and so is evaluated once."""
+    return F.transform(F.array(text), f)[0]
+
+
+def _where(near: tuple[tuple[str, str], ...], f: Callable[[Column], Column], text: Column) -> Column:
+    if not near:
+        return f(text)
+    able = lambda t: reduce(Column.__or__, [t.contains(sign) & t.rlike(p) if sign else t.rlike(p) for sign, p in near])
+    return _named(text, lambda t: F.when(able(t), f(t)).otherwise(t))
 
 
 @dataclass
@@ -59,8 +81,8 @@ class RuleSet:
 
     rules: list[Rule] = field(default_factory=list)
 
-    def add(self, name: str, category: str, pattern: str, replacement: str, needs: str = "") -> RuleSet:
-        self.rules.append(Rule(name, category, pattern, replacement, needs))
+    def add(self, name: str, category: str, pattern: str, replacement: str, needs: str = "", near: tuple[tuple[str, str], ...] = (), sooner: tuple[str, str] = ()) -> RuleSet:
+        self.rules.append(Rule(name, category, pattern, replacement, needs, near, sooner))
         return self
 
     def get(self, name: str) -> Rule | None:
@@ -72,7 +94,11 @@ class RuleSet:
         return [r for c in categories for r in self.rules if r.category == c]
 
     def apply(self, text: Column, categories: list[str] | None = None) -> Column:
-        return reduce(lambda t, r: r.on(t), self.chosen(categories), text)
+        """Rules in a row with the same `near` are looked for once: where it isn't found, none of them changes the text."""
+        for near, some in groupby(self.chosen(categories), lambda r: r.near):
+            rules = list(some)
+            text = _where(near, lambda t: reduce(lambda x, r: r._rewritten(x), rules, t), text)  # noqa: B023
+        return text
 
     def apply_one(self, text: Column, name: str) -> Column:
         """An unknown rule leaves the text as it is."""

@@ -1,6 +1,8 @@
 """What is searched sooner finds the same, and tables are read once."""
 
+import random
 import re
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -28,6 +30,34 @@ def test_quick_rules(spark):
     assert [(x.t, r.name) for x in rows for i, r in enumerate(rules) if x[f"a{i}"] != x[f"b{i}"]] == []
 
 
+def test_library_sooner(spark):
+    """Texts made of pieces of matches: each rule, and all of them, give what the plain patterns give."""
+    pieces = ["May", "June", "Sept", "March", "January", "2019", "20201", "199", "-", "–", "—", " ", "\n", "\t", "\r", "\x0b", "@", "a", "é", "_", ".", "Present", "Current", "Texas", "New York", "West Virginia", "St. Louis", "Kansas City", "Salt Lake City", "Led", "Managed", "Building", "SKILLS", "EXPERIENCE"]
+    rnd = random.Random(7)
+    often = [["May", "2019", "-", " ", "\n", "–"], ["Sept", " ", ".", "é"], ["May2019", "Sept2010", " ", "a"], ["a", " ", "@", "\n", "_"], ["Texas", "New York", "Kansas City", "Managed", "Building", " "]]
+    texts = ["".join(rnd.choices(p, k=rnd.randint(1, 14))) for p in (pieces, *often) for _ in range(1500)] + ["", None]
+    month, dash, gap = ["May", "March", "Sept", "June"], ["-", "–", "\n-", " - ", "\n - ", "-\n", " —"], ["", " ", "\n", " \n ", "\t"]
+    dates = [[["", "a", ".", "\n"], month, gap, ["2019", "201"], dash, gap, [*month, "Present", ""], gap, ["2020", "", "20201"], gap], [["-", "\n-"], gap, month, gap, ["2020"], gap, ["x"]]]
+    texts += ["".join("".join(map(rnd.choice, parts)) for _ in range(rnd.randint(1, 3))) for parts in dates for _ in range(2500)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").cache()
+    plain = lambda t, rules: reduce(lambda t, r: F.regexp_replace(t, r.pattern, r.replacement), rules, t)
+    sets = [[r] for r in chains.LIBRARY.rules] + [chains.LIBRARY.rules]
+    rows = df.select("t", *[repair.RuleSet(rules).apply(F.col("t")).alias(f"a{i}") for i, rules in enumerate(sets)], *[plain(F.col("t"), rules).alias(f"b{i}") for i, rules in enumerate(sets)]).collect()
+    assert [(x.t, rules[0].name) for x in rows for i, rules in enumerate(sets) if x[f"a{i}"] != x[f"b{i}"]] == []
+    for i, rules in enumerate(sets[:-1]):
+        assert any(x[f"b{i}"] != x.t for x in rows), rules[0].name
+    pick = df.select("t", *[structure._hits("t", k).alias(f"a_{k}") for k in structure.ISSUES], *[F.regexp_count("t", F.lit(p)).alias(f"b_{k}") for k, p in structure.ISSUES.items()]).collect()
+    assert [(x.t, k) for x in pick for k in structure.ISSUES if x[f"a_{k}"] != x[f"b_{k}"]] == []
+
+
+def test_rules_search_rare_signs(spark):
+    """No rule of the library is searched in all of a text from every letter of it."""
+    for r in chains.LIBRARY.rules:
+        assert r.needs or r.near or r.sooner, r.name
+    plan = registry.queries()["ag16_issues"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert f"{chains._B}Sept" not in plan and f"{chains._B}({chains._MONTH})" not in plan and "[A-Z](?<=[a-z][A-Z])" in plan
+
+
 def test_one_pass_and_no_text_in_windows(spark):
     plan = lambda n: registry.queries()[n](spark, SF)._jdf.queryExecution().executedPlan().toString()
     for name in ("ag16_issues", "sx9_scores", "sx10_boundaries", "sx19_tiers"):
