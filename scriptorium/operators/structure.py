@@ -138,6 +138,20 @@ def _where_named(found: str) -> str:
     return f"CASE WHEN MATCH(t, '{'|'.join(n for names in FAMILIES.values() for n in names)}') THEN {found} ELSE 0 END"
 
 
+_NO_WORD = r"[\\x00-/:-^`{-\\x{10FFFF}]"
+
+
+def _where_worded(found: str) -> str:
+    """The same for scores that are 0 where no name stands as words of its own: names are tried only behind a sign that is of no word.
+
+    The class names what it takes (t has no capitals): Java took over ten times as long with [^a-z0-9_] here.
+    """
+    every = [n for names in FAMILIES.values() for n in names]
+    names = [n for n in every if not any(o != n and re.search(_WORD(o), n) for o in every)]  # a name that holds another adds nothing
+    assert not any(o != n and o in n for n in names for o in names)
+    return f"CASE WHEN regexp_like(concat(' ', t), '{_NO_WORD}{_any_of(names)}(?![a-z0-9_])') THEN {found} ELSE 0 END"
+
+
 def _sum(parts: list[str]) -> str:
     return " + ".join(f"({p})" for p in parts)
 
@@ -239,7 +253,7 @@ def header_scores(each: DataFrame, **marks: Column) -> DataFrame:
 
 def sx2_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _sum([_family(n) for n in FAMILIES.values()])
-    return _filled(SQL["sx2_headers"].replace(found, _where_named(found)), L=lines(damaged(spark, sf_dir)))
+    return _filled(SQL["sx2_headers"].replace(found, _where_worded(found)), L=lines(damaged(spark, sf_dir)))
 
 
 def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,3 +65,20 @@ def test_one_pass_and_no_text_in_windows(spark):
     for name in ("sx9_scores", "sx10_boundaries"):
         assert not re.search(r"lag\(line|lead\(line|lag\(trim", plan(name))
     assert "(?=" in plan("sx2_headers") and "low_text" in plan("ag19_quality")
+
+
+def test_headers_behind_borders(spark):
+    """sx2_headers tries names only where a word begins, and scores lines as its SQL does."""
+    plan = registry.queries()["sx2_headers"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "10FFFF}](?=" in plan and "[^a-z0-9_](?=" not in plan
+    names = [n for some in structure.FAMILIES.values() for n in some]
+    rnd = random.Random(3)
+    signs = ["", " ", "  ", "_", "x", "7", "é", "-", ":", "s", "\r", "\x00", "\x7f", "`", "{", "^", "\uffff", "\U0001f600"]
+    made = [rnd.choice(signs) + rnd.choice((str, str.upper, str.title))(rnd.choice(names)) + rnd.choice(signs) + rnd.choice(["", rnd.choice(names)]) + rnd.choice(signs) for _ in range(3000)]
+    table = spark.createDataFrame([(0, i, x) for i, x in enumerate([*ODD, *names, *made])], "doc_id long, i int, line string")
+    found = structure._sum([structure._family(n) for n in structure.FAMILIES.values()])
+    plain = structure.SQL["sx2_headers"].replace("MATCH(", "regexp_like(").replace("{L}", "lines_of_test")
+    table.createOrReplaceTempView("lines_of_test")
+    want = {r.i: r.score for r in spark.sql(plain).collect()}
+    got = {r.i: r.score for r in structure._filled(structure.SQL["sx2_headers"].replace(found, structure._where_worded(found)), L=table).collect()}
+    assert got == want and len({*want.values()}) > 5
