@@ -58,6 +58,30 @@ def test_rules_search_rare_signs(spark):
     assert f"{chains._B}Sept" not in plan and f"{chains._B}({chains._MONTH})" not in plan and "[A-Z](?<=[a-z][A-Z])" in plan
 
 
+def test_touched_lines(spark):
+    """The lines that are kept have all issues, and grow as the whole text does, before the rules, after each of them and after all."""
+    plan = registry.queries()["ag16_issues"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(concat(") == plan.count(structure._APART) == 1
+    pieces = ["May", "June", "Sept", "Sep", "2019", "20201", "199", "-", "–", "—", " ", " ", "\n", "\n", "\n", "\t", "\r", "\x0b", "@", "a", "é", "_", ".", ")", "S", "\U0001f600", "Present", "Texas", "New York", "St. Louis", "Kansas City", "Led", "Managed", "Building", "SKILLS", "EXPERIENCE", "plain words"]
+    often = [["Sept", "\n", "Sep", " ", "t"], ["May", "2019", "-", "\n", "–", " ", "\nplain"], ["May2019", "June2020", "\n", "a"], ["a", "@", "\n", " ", "b."], ["Texas", "New York", "\n", "Managed", "Building"], [".SKILLS", "a", "\n", "EXPERIENCE"]]
+    rnd = random.Random(11)
+    line = lambda: "".join(rnd.choices(pieces, k=rnd.randint(0, 6)))
+    texts = ["\n".join(rnd.choice([line(), line(), "Plain words, no more.", "plain words"]) for _ in range(rnd.randint(1, 7))) for _ in range(6000)]
+    texts += ["".join(rnd.choices(p, k=rnd.randint(1, 14))) for p in (pieces, *often) for _ in range(1500)] + ["", "\n", "-", "\n-May 2019", "-May 2019\nx", "x\n\nSept\nSept\n", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("kept", structure._touched(F.col("t"))).cache()
+    rules = chains.LIBRARY.rules
+    plain = lambda t, rules: reduce(lambda t, r: F.regexp_replace(t, r.pattern, r.replacement), rules, F.col(t))
+    for some in ([], *([r] for r in rules), *(rules[:k] for k in range(2, len(rules), 3)), rules):
+        two = df.select("t", "kept", plain("t", some).alias("a"), plain("kept", some).alias("b")).withColumn("b", F.when(F.col("kept").isNotNull(), F.col("b")))
+        counts = lambda x, of: [(F.length(x) - F.length(of)).alias(f"grown_{x}"), *[F.regexp_count(x, F.lit(p)).alias(f"{k}_{x}") for k, p in structure.ISSUES.items()]]
+        rows = two.select("t", *counts("a", "t"), *counts("b", "kept")).collect()
+        assert [r.t for r in rows if any(r[f"{k}_a"] != r[f"{k}_b"] for k in ("grown", *structure.ISSUES))] == [], [r.name for r in some]
+    kept = {r.t: r.kept for r in df.collect()}
+    assert sum(k == "" for t, k in kept.items() if t) > 500 and sum(0 < len(k) < len(t) for t, k in kept.items() if t) > 1000
+    prose = "Plain words (all of them) go on; a well-kept word - too.\nÉtat of 2019, UN and Others\n" * 50
+    assert spark.range(1).select(structure._touched(F.lit(prose))).first()[0] == ""
+
+
 def test_one_pass_and_no_text_in_windows(spark):
     plan = lambda n: registry.queries()[n](spark, SF)._jdf.queryExecution().executedPlan().toString()
     for name in ("ag16_issues", "sx9_scores", "sx10_boundaries", "sx19_tiers"):
