@@ -68,6 +68,8 @@ def test_touched_lines(spark):
     line = lambda: "".join(rnd.choices(pieces, k=rnd.randint(0, 6)))
     texts = ["\n".join(rnd.choice([line(), line(), "Plain words, no more.", "plain words"]) for _ in range(rnd.randint(1, 7))) for _ in range(6000)]
     texts += ["".join(rnd.choices(p, k=rnd.randint(1, 14))) for p in (pieces, *often) for _ in range(1500)] + ["", "\n", "-", "\n-May 2019", "-May 2019\nx", "x\n\nSept\nSept\n", None]
+    dates = [["", "x\n", "\n", "."], ["May", "Sept"], ["", " ", "\n"], ["2019", "201"], ["-", "–", "\n-", "-\n", "\n—\n"], ["", "-"], ["May", "June", "Present", ""], ["", " ", "\n"], ["2020", ""], ["", "\n", "\nx"]]
+    texts += ["".join("".join(map(rnd.choice, dates)) for _ in range(rnd.randint(1, 2))) for _ in range(5000)]
     df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("kept", structure._touched(F.col("t"))).cache()
     rules = chains.LIBRARY.rules
     plain = lambda t, rules: reduce(lambda t, r: F.regexp_replace(t, r.pattern, r.replacement), rules, F.col(t))
